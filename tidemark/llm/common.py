@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +34,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of one Arrow batch: a batch of long texts has to fit beside the vectors made from it."""
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the executors' Python workers, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = os.path.join(tempfile.mkdtemp(), f"{package.name}.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(target)
+    _shipped.add(context.applicationId)
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the code, and bound the rows of one Arrow batch: long texts have to fit beside the vectors made from them."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
@@ -41,4 +61,4 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-__all__ = ["ARROW_ROWS", "StorageLevel", "ascii_lower", "cut", "ensure_checkpoint_dir", "small_batches", "table"]
+__all__ = ["ARROW_ROWS", "StorageLevel", "ascii_lower", "cut", "ensure_checkpoint_dir", "prepare", "ship_package", "table"]

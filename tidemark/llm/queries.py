@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.licenses import op5_license_scan
 from tidemark.llm.mixture import OP4_SQL, op4_mix_sources
+from tidemark.llm.quality import op3_quality
+from tidemark.llm.tokens import op9_token_counts
+from tidemark.llm.toxicity import op8_toxicity
 from tidemark.llm.url_filter import OP10_SQL, op10_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_mix_sources": op4_mix_sources, "op10_url_filter": op10_url_filter}
+    return {
+        "op3_quality": op3_quality,
+        "op4_mix_sources": op4_mix_sources,
+        "op5_license_scan": op5_license_scan,
+        "op8_toxicity": op8_toxicity,
+        "op9_token_counts": op9_token_counts,
+        "op10_url_filter": op10_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
