@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.decontaminate import op6_decontaminate
 from tidemark.llm.licenses import op5_license_scan
 from tidemark.llm.mixture import OP4_SQL, op4_mix_sources
+from tidemark.llm.near_dedup import op7_near_dedup
 from tidemark.llm.quality import op3_quality
 from tidemark.llm.tokens import op9_token_counts
 from tidemark.llm.toxicity import op8_toxicity
@@ -19,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op4_mix_sources": op4_mix_sources,
         "op5_license_scan": op5_license_scan,
+        "op6_decontaminate": op6_decontaminate,
+        "op7_near_dedup": op7_near_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_token_counts": op9_token_counts,
         "op10_url_filter": op10_url_filter,

@@ -96,15 +96,22 @@ class Words:
         return run_hashes(self.data, self.start, self.end)
 
 
+class RunHasher:
+    """64-bit hashes of runs of bytes, equal for equal bytes; the sums along the data are made once."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = powers(len(data) + 1)
+        self.total = np.empty(len(data) + 1, U)
+        self.total[0] = 0
+        np.cumsum(_VALUES[data] * up[: len(data)], out=self.total[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+
+
 def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], equal for equal bytes."""
-    if not len(start):
-        return np.zeros(0, U)
-    up, down = powers(len(data) + 1)
-    total = np.empty(len(data) + 1, U)
-    total[0] = 0
-    np.cumsum(_VALUES[data] * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+    """Hashes of data[start:end]."""
+    return RunHasher(data)(start, end) if len(start) else np.zeros(0, U)
 
 
 def word_hash(word: str) -> int:

@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples, found exactly in a block-max inverted index.
 
-Words (A-Z lower-cased runs of letters, digits and non-ASCII) that go with a label in the sample, by a
-chi-square test, make the vocabulary; its document frequencies are counted over all documents. Texts are
+Terms are words (A-Z lower-cased runs of letters, digits and non-ASCII) and the beginnings of words, of 4 to
+10 bytes, as insults get endings. Terms that go with a label in the sample, by a chi-square test, make the
+vocabulary; its document frequencies are counted over all documents. Texts are
 TF-IDF vectors over it. The sample's vectors are stored as postings in blocks of ``BLOCK`` examples with the
 largest weight of each word per block. A query visits blocks in the order of their upper bounds and stops
 when no block left can beat the k-th best cosine, so its neighbours are the exact ones. Neighbours vote with
@@ -26,10 +27,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import prepare
 from tidemark.llm.labelled import crc_class, sample
-from tidemark.llm.textvec import ALNUM, LOWER, blocks, phrase_hashes
+from tidemark.llm.textvec import ALNUM, LOWER, RunHasher, blocks, mix, run_hashes
 
-SAMPLE, BLOCK, NEIGHBOURS = 8000, 64, 15
-CHI_SQUARE, MIN_DOCUMENTS, MOST_WORDS = 24.0, 4, 4096
+SAMPLE, BLOCK, NEIGHBOURS = 16000, 64, 15
+PREFIXES = range(4, 11)
+CHI_SQUARE, MIN_DOCUMENTS, MOST_TERMS = 24.0, 4, 4096
 THRESHOLD = 0.5
 MODULUS, HELD_OUT = 5, 0
 
@@ -37,12 +39,11 @@ MODULUS, HELD_OUT = 5, 0
 class Index:
     """Postings of the examples' vectors and their largest weights by block."""
 
-    def __init__(self, words: list[str], idf: np.ndarray, labels: np.ndarray, vectors: np.ndarray, ids: list[int], bare: float):
+    def __init__(self, words: list[bytes], idf: np.ndarray, labels: np.ndarray, vectors: np.ndarray, ids: list[int], bare: float):
         self.bare = bare  # score of texts without evidence
         self.words = words
-        hashes = np.array([phrase_hashes(w)[0] for w in words], np.uint64)
-        self.order = np.argsort(hashes)
-        self.hashes, self.idf = hashes[self.order], idf
+        self.hashes, self.order = ranked_hashes(words)
+        self.idf = idf
         # examples with alike leading words stand together, which makes the blocks' bounds tight
         place = np.lexsort((labels, vectors.argmax(axis=1))) if len(labels) else np.zeros(0, int)
         self.labels, self.vectors, self.ids = labels[place], vectors[place], np.array(ids, object)[place] if ids else np.zeros(0, object)
@@ -77,62 +78,91 @@ class Index:
         return self.found[key]
 
 
-def words_of(block) -> tuple[np.ndarray, np.ndarray, np.ndarray, object]:
+BEGINNING = np.uint64(0x9FB21C651E98DF25)
+
+
+def term_hash(term: bytes) -> int:
+    """Hash of a term: a word, or a beginning, which ends in "*"."""
+    data = np.frombuffer(term.removesuffix(b"*"), np.uint8)
+    h = run_hashes(data, np.array([0]), np.array([len(data)]))[0]
+    return int(h ^ BEGINNING if term.endswith(b"*") else h)
+
+
+def all_terms(block):
+    """(lower-cased bytes, word starts, term ends, texts, hashes, is a beginning) of a block, one entry per occurrence."""
     data = LOWER[block.data]
     w = block.words(ALNUM, data)
-    return w.doc, w.hashes(), data, w
+    hasher, doc, size = RunHasher(data), w.doc, w.end - w.start
+    parts = [(w.start, w.end, doc, hasher(w.start, w.end), np.zeros(len(w), bool))]
+    for k in PREFIXES:
+        at = np.flatnonzero(size > k)
+        s = w.start[at]
+        parts.append((s, s + k, doc[at], hasher(s, s + k) ^ BEGINNING, np.ones(len(at), bool)))
+    return data, *(np.concatenate(x) for x in zip(*parts))
 
 
-def select_words(few: DataFrame) -> list[str]:
-    """Words of the sample (doc_id, y, text) whose presence goes with the label."""
+def select_terms(few: DataFrame) -> list[bytes]:
+    """Terms of the sample (doc_id, y, text) whose presence goes with the label."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ys = batch.column(0).to_pylist()
             for block in blocks(batch.column(1)):
-                doc, h, data, w = words_of(block)
-                _, at = np.unique(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ h, return_index=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([data[w.start[k] : w.end[k]].tobytes().decode("utf-8", "replace") for k in at], pa.string()), pa.array([ys[block.first + doc[k]] for k in at], pa.int32())], ["word", "y"]
-                )
+                data, start, end, doc, h, cut = all_terms(block)
+                _, at = np.unique(mix(doc.astype(np.uint64) + np.uint64(1)) ^ h, return_index=True)
+                found = [data[start[k] : end[k]].tobytes() + b"*" * bool(cut[k]) for k in at]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([ys[block.first + doc[k]] for k in at], pa.int32())], ["term", "y"])
 
     n, positive = few.agg(F.count("*"), F.sum("y")).first()
     positive = positive or 0
     negative = n - positive
     if not positive or not negative:
         return []
-    seen = few.select("y", "text").mapInArrow(spread, "word string, y int").groupBy("word").agg(F.sum("y").cast("double").alias("a"), F.count("*").cast("double").alias("c"))
+    seen = few.select("y", "text").mapInArrow(spread, "term binary, y int").groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.count("*").cast("double").alias("c"))
     gap = F.col("a") * F.lit(float(negative)) - (F.col("c") - F.col("a")) * F.lit(float(positive))
     chi = F.lit(float(n)) * gap * gap / (F.lit(float(positive) * float(negative)) * F.col("c") * (F.lit(float(n)) - F.col("c")))
-    # at most MOST_WORDS words of a bounded sample
-    rows = seen.filter((F.col("c") >= MIN_DOCUMENTS) & (F.col("c") < n)).withColumn("chi", chi).filter(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "word").limit(MOST_WORDS).collect()
-    return sorted(r["word"] for r in rows)
+    # at most MOST_TERMS terms of a bounded sample
+    rows = seen.filter((F.col("c") >= MIN_DOCUMENTS) & (F.col("c") < n)).withColumn("chi", chi).filter(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(MOST_TERMS).collect()
+    # a beginning tells nothing beside a longer term that stands in as many texts
+    counts = {bytes(r["term"]): (r["a"], r["c"]) for r in rows}
+    longer = {(t[:k] + b"*", n_) for t, n_ in counts.items() for k in PREFIXES if k < len(t.removesuffix(b"*"))}
+    return sorted(t for t, n_ in counts.items() if (t, n_) not in longer)
 
 
-def word_counts(block, hashes: np.ndarray, order: np.ndarray):
-    """(text, column, count) of the words of a sorted vocabulary in a block."""
-    doc, h, _, _ = words_of(block)
+def term_counts(block, hashes: np.ndarray, order: np.ndarray):
+    """(text, column, count) of the terms of a sorted vocabulary in a block."""
     if not len(hashes):
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
-    at = np.searchsorted(hashes, h)
+    _, _, _, doc, h, _ = all_terms(block)
+    if not len(h):
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
+    # a table of the hashes' low bits first: few occurrences are of the vocabulary
+    low = np.zeros(1 << 16, bool)
+    low[hashes & np.uint64(0xFFFF)] = True
+    maybe = np.flatnonzero(low[h & np.uint64(0xFFFF)])
+    at = np.searchsorted(hashes, h[maybe])
     at[at == len(hashes)] = 0
-    hit = np.flatnonzero(hashes[at] == h)
-    key, count = np.unique(doc[hit] * len(hashes) + order[at[hit]], return_counts=True)
+    same = hashes[at] == h[maybe]
+    key, count = np.unique(doc[maybe[same]] * len(hashes) + order[at[same]], return_counts=True)
     return key // len(hashes), key % len(hashes), count
 
 
-def frequencies(docs: DataFrame, words: list[str]) -> tuple[int, np.ndarray]:
-    """Number of documents, and how many hold each word, over all documents."""
-    hashes = np.array([phrase_hashes(w)[0] for w in words], np.uint64)
+def ranked_hashes(terms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    hashes = np.array([term_hash(t) for t in terms], np.uint64)
     order = np.argsort(hashes)
-    ranked = hashes[order]
+    return hashes[order], order
+
+
+def frequencies(docs: DataFrame, words: list[bytes]) -> tuple[int, np.ndarray]:
+    """Number of documents, and how many hold each word, over all documents."""
+    ranked, order = ranked_hashes(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, sums = 0, np.zeros(len(words), np.int64)
         for batch in batches:
             total += batch.num_rows
             for block in blocks(batch.column(0)):
-                sums += np.bincount(word_counts(block, ranked, order)[1], minlength=len(words))
+                sums += np.bincount(term_counts(block, ranked, order)[1], minlength=len(words))
         yield pa.RecordBatch.from_arrays([pa.array([*range(len(words)), -1], pa.int32()), pa.array([*sums.tolist(), total], pa.int64())], ["word", "n"])
 
     got = {r["word"]: r["n"] for r in docs.select("text").mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
@@ -141,17 +171,15 @@ def frequencies(docs: DataFrame, words: list[str]) -> tuple[int, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Index:
     few = sample(docs, labels, "toxic", crc_class(F.col("doc_id"), MODULUS) != HELD_OUT, SAMPLE).select("doc_id", "y", "text")
-    words = select_words(few)
+    words = select_terms(few)
     n, df = frequencies(docs, words)
     idf = np.log((1 + n) / (1 + df)) + 1
-    hashes = np.array([phrase_hashes(w)[0] for w in words], np.uint64)
-    order = np.argsort(hashes)
-    ranked = hashes[order]
+    ranked, order = ranked_hashes(words)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(2)):
-                doc, column, count = word_counts(block, ranked, order)
+                doc, column, count = term_counts(block, ranked, order)
                 cut = np.searchsorted(doc, np.arange(block.n + 1))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(block.first, block.n), batch.column(1).slice(block.first, block.n).cast(pa.int32()),
@@ -181,14 +209,14 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
         ix = shared.value
         for batch in batches:
             for block in blocks(batch.column(1)):
-                doc, column, count = word_counts(block, ix.hashes, ix.order)
+                doc, column, count = term_counts(block, ix.hashes, ix.order)
                 cut = np.searchsorted(doc, np.arange(block.n + 1))
                 scores, nearest, words = [ix.bare] * block.n, [None] * block.n, [""] * block.n
                 for d in np.unique(doc):
                     a, b = cut[d], cut[d + 1]
                     if len(ix.labels):
                         scores[d], nearest[d] = ix.score(column[a:b], count[a:b])
-                    words[d] = ",".join(ix.words[c] for c in column[a:b])
+                    words[d] = b",".join(ix.words[c] for c in column[a:b]).decode("utf-8", "ignore")
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(block.first, block.n).cast(pa.int64()), pa.array(scores, pa.float64()), pa.array(words, pa.string()), pa.array(nearest, pa.list_(pa.int64()))], ["doc_id", "score", "evidence", "nearest"]
                 )
