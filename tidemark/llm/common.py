@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -34,6 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that nothing needs any more, instead of whenever the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _shipped: set[str] = set()
 
 
@@ -61,4 +68,4 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-__all__ = ["ARROW_ROWS", "StorageLevel", "ascii_lower", "cut", "ensure_checkpoint_dir", "prepare", "ship_package", "table"]
+__all__ = ["ARROW_ROWS", "StorageLevel", "ascii_lower", "cut", "ensure_checkpoint_dir", "prepare", "release", "ship_package", "table"]

@@ -11,6 +11,7 @@ from tidemark.llm.licenses import op5_license_scan
 from tidemark.llm.mixture import OP4_SQL, op4_mix_sources
 from tidemark.llm.near_dedup import op7_near_dedup
 from tidemark.llm.quality import op3_quality
+from tidemark.llm.suffix_dedup import op1_suffix_dedup
 from tidemark.llm.tokens import op9_token_counts
 from tidemark.llm.toxicity import op8_toxicity
 from tidemark.llm.url_filter import OP10_SQL, op10_url_filter
@@ -18,6 +19,7 @@ from tidemark.llm.url_filter import OP10_SQL, op10_url_filter
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op3_quality": op3_quality,
         "op4_mix_sources": op4_mix_sources,
         "op5_license_scan": op5_license_scan,
