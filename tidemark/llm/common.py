@@ -29,6 +29,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as a URL: where checkpoints go."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a frame in the shared checkpoint folder, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -68,4 +74,4 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-__all__ = ["ARROW_ROWS", "StorageLevel", "ascii_lower", "cut", "ensure_checkpoint_dir", "prepare", "release", "ship_package", "table"]
+__all__ = ["ARROW_ROWS", "StorageLevel", "ascii_lower", "cut", "ensure_checkpoint_dir", "prepare", "release", "shared_folder", "ship_package", "table"]

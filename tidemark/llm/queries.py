@@ -10,6 +10,7 @@ from tidemark.llm.decontaminate import op6_decontaminate
 from tidemark.llm.licenses import op5_license_scan
 from tidemark.llm.mixture import OP4_SQL, op4_mix_sources
 from tidemark.llm.near_dedup import op7_near_dedup
+from tidemark.llm.neighbours import op2_nearest
 from tidemark.llm.quality import op3_quality
 from tidemark.llm.suffix_dedup import op1_suffix_dedup
 from tidemark.llm.tokens import op9_token_counts
@@ -17,9 +18,16 @@ from tidemark.llm.toxicity import op8_toxicity
 from tidemark.llm.url_filter import OP10_SQL, op10_url_filter
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_nearest": op2_nearest,
         "op3_quality": op3_quality,
         "op4_mix_sources": op4_mix_sources,
         "op5_license_scan": op5_license_scan,
@@ -28,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_token_counts": op9_token_counts,
         "op10_url_filter": op10_url_filter,
+        "pipeline": pipeline,
     }
 
 
