@@ -3,8 +3,9 @@
 Every row is indexed. A shard of at most ``SHARD`` rows has ``TREES`` trees; a tree is the sorted array of the
 rows' hash strings, of ``BITS`` bits each, the signs of random projections. For a query each tree gives the
 rows that share a prefix of its hash string. The search starts at the longest prefix that anything matches
-and ascends in all trees at once, one bit at a time, until the trees together list ``SHARE`` times the shard
-(at least ``LEAST`` rows); all rows met are candidates and are compared exactly, in double precision. After
+and ascends in all trees at once, one bit at a time, until the trees together list ``SHARE`` times the shard;
+all rows met are candidates and are compared exactly, in double precision. In shards of up to ``LEAST`` rows
+all are candidates. After
 Bawa, Condie and Ganesan, "LSH Forest" (2005).
 
 Queries are a stated set and go to the shards in blocks of ``QUERY_BLOCK`` rows; each shard answers with its
@@ -67,7 +68,7 @@ class Forest:
         strings = hash_strings(self.vectors, self.normal)
         self.order = np.argsort(strings, axis=1)
         self.sorted = np.take_along_axis(strings, self.order, axis=1)
-        self.want = min(len(head), max(LEAST, int(SHARE * len(head))))
+        self.want = int(SHARE * len(head))
 
     def ranges(self, strings: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """(trees, queries): first and end of the rows that share ``depth`` leading bits."""
@@ -79,8 +80,11 @@ class Forest:
 
     def candidates(self, queries: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Each query with the rows that its ascent meets."""
-        strings = hash_strings(queries, self.normal)
         left = np.arange(len(queries))
+        if len(self.vectors) <= LEAST:
+            yield from ((int(q), np.arange(len(self.vectors))) for q in left)
+            return
+        strings = hash_strings(queries, self.normal)
         # descend: no prefix longer than log2(rows) + some bits matches more than a few rows
         for depth in range(min(BITS, len(self.vectors).bit_length() + 8), -1, -1):
             a, b = self.ranges(strings[:, left], depth)
