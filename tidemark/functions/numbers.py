@@ -7,6 +7,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidemark.config import RASTER
 
@@ -74,7 +75,7 @@ def shortest(value: float) -> str:
     return text.rstrip("0").rstrip(".") if "." in text else text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def format_weight(value: pd.Series, places: pd.Series) -> pd.Series:
     """Weights with the given decimals, or as short as two decimals go if that is 0; null stays null."""
     return pd.Series([None if pd.isna(v) else fixed(v, int(p)) if p and p > 0 else shortest(v) for v, p in zip(value, places)], dtype=object)
