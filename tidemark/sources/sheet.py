@@ -127,7 +127,7 @@ def register(spark: SparkSession) -> None:
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     """(path, row_number, cells) of one small CSV file, in the order of its lines."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("place", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("place", "line"))
     return lines.select("path", (F.col("place") + 1).alias("row_number"), F.transform(F.split("line", ",", -1), lambda c: F.when(F.trim(c) != "", F.trim(c, F.lit('" '))))) .toDF("path", "row_number", "cells")
 
 
