@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples, found exactly in a block-max inverted index.
 
 Terms are words (A-Z lower-cased runs of letters, digits and non-ASCII) and the beginnings of words, of 4 to
-10 bytes, as insults get endings. Terms that go with a label in the sample, by a chi-square test, make the
-vocabulary; its document frequencies are counted over all documents. Texts are
+10 bytes, as insults get endings. Terms that go with label 1 in the sample, by a chi-square test and a share
+of ``MIN_SHARE`` of the texts that hold them, make the vocabulary; its document frequencies are counted over
+all documents. Texts are
 TF-IDF vectors over it. The sample's vectors are stored as postings in blocks of ``BLOCK`` examples with the
 largest weight of each word per block. A query visits blocks in the order of their upper bounds and stops
 when no block left can beat the k-th best cosine, so its neighbours are the exact ones. Neighbours vote with
@@ -31,35 +32,55 @@ from tidemark.llm.textvec import ALNUM, LOWER, RunHasher, blocks, mix, run_hashe
 
 SAMPLE, BLOCK, NEIGHBOURS = 16000, 64, 15
 PREFIXES = range(4, 11)
-CHI_SQUARE, MIN_DOCUMENTS, MOST_TERMS = 24.0, 4, 4096
+CHI_SQUARE, MIN_DOCUMENTS, MIN_SHARE, MIN_PLACES, MOST_LISTED = 24.0, 4, 0.4, 0.3, 200_000
 THRESHOLD = 0.5
 MODULUS, HELD_OUT = 5, 0
 
 
 class Index:
-    """Postings of the examples' vectors and their largest weights by block."""
+    """Postings of the examples' vectors, by term and block of examples, with each block's largest weight."""
 
-    def __init__(self, words: list[bytes], idf: np.ndarray, labels: np.ndarray, vectors: np.ndarray, ids: list[int], bare: float):
-        self.bare = bare  # score of texts without evidence
-        self.words = words
+    def __init__(self, words: list[bytes], idf: np.ndarray, labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], ids: list[int], bare: float):
+        """rows: (columns, weights) of the examples, of length 1; bare: score of texts without evidence."""
+        self.bare, self.words, self.idf = bare, words, idf
         self.hashes, self.order = ranked_hashes(words)
-        self.idf = idf
         # examples with alike leading words stand together, which makes the blocks' bounds tight
-        place = np.lexsort((labels, vectors.argmax(axis=1))) if len(labels) else np.zeros(0, int)
-        self.labels, self.vectors, self.ids = labels[place], vectors[place], np.array(ids, object)[place] if ids else np.zeros(0, object)
-        heads = np.arange(0, len(place), BLOCK)
-        self.largest = np.maximum.reduceat(self.vectors, heads, axis=0) if len(place) else np.zeros((0, len(words)))
+        lead = np.array([c[np.argmax(w)] for c, w in rows], int)
+        place = np.lexsort((labels, lead)) if rows else np.zeros(0, int)
+        self.labels, self.ids = labels[place], np.array([ids[k] for k in place], np.int64)
+        sizes = np.array([len(rows[k][0]) for k in place], int)
+        term = np.concatenate([rows[k][0] for k in place]) if rows else np.zeros(0, int)
+        weight = np.concatenate([rows[k][1] for k in place]) if rows else np.zeros(0)
+        at = np.repeat(np.arange(len(place)), sizes)
+        by_term = np.lexsort((at, term))
+        self.at, self.weight = at[by_term], weight[by_term]
+        cell = term[by_term].astype(np.int64) * (len(place) // BLOCK + 1) + self.at // BLOCK
+        #: postings of a term's blocks: start of each, its block and largest weight; terms' first entries
+        self.start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, int)
+        self.block = self.at[self.start] // BLOCK
+        self.largest = np.maximum.reduceat(self.weight, self.start) if len(cell) else np.zeros(0)
+        self.first = np.searchsorted(term[by_term][self.start], np.arange(len(words) + 1))
+        self.start = np.append(self.start, len(cell))
         self.found: dict[bytes, tuple[float, list[int]]] = {}
 
     def nearest(self, columns: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples."""
-        bound = self.largest[:, columns] @ weights
+        """Places and cosines of the k nearest examples; blocks in the order of their bounds, until none can beat the k-th."""
+        own = [(self.first[c], self.first[c + 1], w) for c, w in zip(columns, weights)]
+        bound = np.zeros(len(self.labels) // BLOCK + 1)
+        for lo, hi, w in own:
+            bound[self.block[lo:hi]] += w * self.largest[lo:hi]
         best, at = np.zeros(0), np.zeros(0, int)
         for b in np.argsort(-bound, kind="stable"):
-            if len(best) >= NEIGHBOURS and bound[b] < best[NEIGHBOURS - 1]:
+            if bound[b] <= 0 or (len(best) >= NEIGHBOURS and bound[b] < best[NEIGHBOURS - 1] - 1e-12):
                 break
-            own = np.arange(b * BLOCK, min(len(self.labels), (b + 1) * BLOCK))
-            best, at = np.concatenate([best, self.vectors[own][:, columns] @ weights]), np.concatenate([at, own])
+            score = np.zeros(BLOCK)
+            for lo, hi, w in own:
+                k = lo + np.searchsorted(self.block[lo:hi], b)
+                if k < hi and self.block[k] == b:
+                    part = slice(self.start[k], self.start[k + 1])
+                    score[self.at[part] - b * BLOCK] += w * self.weight[part]
+            hit = np.flatnonzero(score)
+            best, at = np.concatenate([best, score[hit]]), np.concatenate([at, hit + b * BLOCK])
             keep = np.lexsort((at, -best))[:NEIGHBOURS]
             best, at = best[keep], at[keep]
         return at, best
@@ -102,29 +123,44 @@ def all_terms(block):
 
 
 def select_terms(few: DataFrame) -> list[bytes]:
-    """Terms of the sample (doc_id, y, text) whose presence goes with the label."""
+    """Terms of the sample (doc_id, y, text) whose presence goes with label 1.
+
+    Terms are listed from texts of label 1 only, those that stand there in enough different surroundings (a word
+    that copies of one text share doesn't), and are then counted over the sample.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ys = batch.column(0).to_pylist()
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(0)):
                 data, start, end, doc, h, cut = all_terms(block)
                 _, at = np.unique(mix(doc.astype(np.uint64) + np.uint64(1)) ^ h, return_index=True)
+                # the words before and after, by which copies of one text are told from uses of a word
+                w = block.words(ALNUM, data)
+                own = np.concatenate([[np.uint64(0)], w.hashes(), [np.uint64(0)]])
+                place = np.searchsorted(w.start, start[at])
+                around = mix(own[place] + np.uint64(3) * own[place + 2])
                 found = [data[start[k] : end[k]].tobytes() + b"*" * bool(cut[k]) for k in at]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([ys[block.first + doc[k]] for k in at], pa.int32())], ["term", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(around.view(np.int64))], ["term", "around"])
 
     n, positive = few.agg(F.count("*"), F.sum("y")).first()
     positive = positive or 0
     negative = n - positive
     if not positive or not negative:
         return []
-    seen = few.select("y", "text").mapInArrow(spread, "term binary, y int").groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.count("*").cast("double").alias("c"))
-    gap = F.col("a") * F.lit(float(negative)) - (F.col("c") - F.col("a")) * F.lit(float(positive))
-    chi = F.lit(float(n)) * gap * gap / (F.lit(float(positive) * float(negative)) * F.col("c") * (F.lit(float(n)) - F.col("c")))
-    # at most MOST_TERMS terms of a bounded sample
-    rows = seen.filter((F.col("c") >= MIN_DOCUMENTS) & (F.col("c") < n)).withColumn("chi", chi).filter(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(MOST_TERMS).collect()
+    uses = few.filter("y = 1").select("text").mapInArrow(spread, "term binary, around long").groupBy("term", "around").agg(F.count("*").alias("m"))
+    often = uses.groupBy("term").agg(F.sum("m").alias("a"), F.count("*").alias("places"))
+    often = often.filter((F.col("places") >= MIN_DOCUMENTS) & (F.col("places") >= F.col("a") * MIN_PLACES))
+    # terms of a bounded sample, at most MOST_LISTED
+    listed = {bytes(r["term"]): r["a"] for r in often.orderBy(F.desc("a"), "term").limit(MOST_LISTED).collect()}
+    terms = sorted(listed)
+    total = frequencies(few, terms)[1]
+    counts = {}
+    for t, c in zip(terms, total):
+        a = listed[t]
+        gap = a * negative - (c - a) * positive
+        if a >= MIN_SHARE * c and gap > 0 and (c == n or n * gap * gap >= CHI_SQUARE * positive * negative * c * (n - c)):
+            counts[t] = (a, c)
     # a beginning tells nothing beside a longer term that stands in as many texts
-    counts = {bytes(r["term"]): (r["a"], r["c"]) for r in rows}
     longer = {(t[:k] + b"*", n_) for t, n_ in counts.items() for k in PREFIXES if k < len(t.removesuffix(b"*"))}
     return sorted(t for t, n_ in counts.items() if (t, n_) not in longer)
 
@@ -137,9 +173,10 @@ def term_counts(block, hashes: np.ndarray, order: np.ndarray):
     if not len(h):
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
     # a table of the hashes' low bits first: few occurrences are of the vocabulary
-    low = np.zeros(1 << 16, bool)
-    low[hashes & np.uint64(0xFFFF)] = True
-    maybe = np.flatnonzero(low[h & np.uint64(0xFFFF)])
+    mask = np.uint64((1 << (16 * len(hashes)).bit_length()) - 1)
+    low = np.zeros(int(mask) + 1, bool)
+    low[hashes & mask] = True
+    maybe = np.flatnonzero(low[h & mask])
     at = np.searchsorted(hashes, h[maybe])
     at[at == len(hashes)] = 0
     same = hashes[at] == h[maybe]
@@ -163,7 +200,8 @@ def frequencies(docs: DataFrame, words: list[bytes]) -> tuple[int, np.ndarray]:
             total += batch.num_rows
             for block in blocks(batch.column(0)):
                 sums += np.bincount(term_counts(block, ranked, order)[1], minlength=len(words))
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(words)), -1], pa.int32()), pa.array([*sums.tolist(), total], pa.int64())], ["word", "n"])
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int32()), pa.array([*sums[at].tolist(), total], pa.int64())], ["word", "n"])
 
     got = {r["word"]: r["n"] for r in docs.select("text").mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     return got.get(-1, 0), np.array([got.get(k, 0) for k in range(len(words))], float)
@@ -191,13 +229,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     bare = [y for _, y, c, _ in rows if not c]
     all_y = [r[1] for r in rows]
     base = float(np.mean(bare)) if bare else float(np.mean(all_y)) if all_y else 0.0
-    full = [r for r in rows if r[2]]
-    vectors = np.zeros((len(full), len(words)), np.float32)
-    for k, (_, _, c, m) in enumerate(full):
-        column = np.frombuffer(c, np.int32)
-        vectors[k, column] = (1 + np.log(np.frombuffer(m, np.int32))) * idf[column]
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    return Index(words, idf, np.array([r[1] for r in full], float), vectors, [r[0] for r in full], base)
+    full = []
+    for doc_id, y, c, m in rows:
+        if c:
+            column = np.frombuffer(c, np.int32)
+            weight = (1 + np.log(np.frombuffer(m, np.int32))) * idf[column]
+            full.append((doc_id, y, (column, weight / np.linalg.norm(weight))))
+    return Index(words, idf, np.array([r[1] for r in full], float), [r[2] for r in full], [r[0] for r in full], base)
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
