@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.config import MATCH, MatchConfig
 from tidemark.functions import numbers, text
 from tidemark.operators.ordered import keep_first, top_k
+from tidemark.session import ship_package
 
 CANDIDATES = "image_id string, cand_ord int, text string, confidence double, word_ords array<int>, source string, x0 double, y0 double, x1 double, y1 double"
 _NOT_DIGIT = re.compile("[^0-9]")
@@ -61,6 +62,7 @@ def fragment_candidates(words: DataFrame, config: MatchConfig = MATCH, min_lengt
         rows = [(page["image_id"].iloc[0], k, t, c, o, "ocr_fragments" if len(o) > 1 else "ocr", *box) for k, (t, c, o, *box) in enumerate(chains(parts, config.max_chain_length)) if c >= sure and len(t) >= low]
         return pd.DataFrame(rows, columns=["image_id", "cand_ord", "text", "confidence", "word_ords", "source", "x0", "y0", "x1", "y1"])
 
+    ship_package(words.sparkSession)
     flat = words.select("image_id", "word_ord", text.digits(F.col("text")).alias("digits"), "confidence", "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
     return flat.filter("digits != ''").groupBy("image_id").applyInPandas(run, CANDIDATES)
 

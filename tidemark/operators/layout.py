@@ -13,6 +13,7 @@ from tidemark.config import MATCH, MatchConfig
 from tidemark.functions import words as W
 from tidemark.model import ANCHORS, REGIONS
 from tidemark.operators.boxes import Anchor, Box, Region, Word, hull
+from tidemark.session import ship_package
 
 
 def header_halves(words: list[Word]) -> set[int]:
@@ -146,6 +147,7 @@ def page_words(page: pd.DataFrame) -> list[Word]:
 
 def flat_words(words: DataFrame, images: DataFrame) -> DataFrame:
     """Words with their box's sides and their page's size, the columns that a page's task needs."""
+    ship_package(words.sparkSession)
     flat = words.select("image_id", "word_ord", "text", "confidence", "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
     return flat.join(images.select("image_id", "width", "height", "filename"), "image_id")
 

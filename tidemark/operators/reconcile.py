@@ -22,6 +22,7 @@ from tidemark.functions import numbers, text
 from tidemark.functions import words as W
 from tidemark.operators import identify, layout, raster
 from tidemark.operators.boxes import Anchor, Box, Region, Word
+from tidemark.session import ship_package
 
 _WEIGHTY = re.compile("weight|weigh|ctual|charg|structural|inferred")
 
@@ -361,6 +362,7 @@ def results(words: DataFrame, images: DataFrame, mapping: DataFrame, rasters: Da
 
 def proposed_corrections(done: DataFrame) -> DataFrame:
     """One row for each value of an ok page: what is printed, what the sheet says, in one precision for the page."""
+    ship_package(done.sparkSession)
     ok = done.filter("status = 'ok' and new_weight is not null")
     places = F.greatest(F.array_max(F.transform("regions", lambda r: text.decimals(r["original_text"]))), numbers.own_decimals(F.col("new_weight")))
     rows = ok.withColumn("new_text", numbers.format_weight(F.col("new_weight"), places)).select("image_id", "shipment_id", "new_weight", "new_text", F.posexplode("regions").alias("region_ord", "r"))

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import numbers, text
-from tidemark.operators import identify, ordered, spatial
+from tidemark.operators import identify, ordered, reconcile, spatial
+from tidemark.plans import rollup as rollup_plans
 from tidemark.plans.rollup import rollup
 
 
@@ -189,6 +190,73 @@ def semi_request(spark, d):
 
 
 
+def durations(spark, d):
+    """Days between orders and their first shipment, as job durations in milliseconds."""
+    first = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("completed_at"))
+    orders = _t(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("started_at"))
+    jobs = orders.join(first, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("completed_at", F.col("completed_at").cast("timestamp"))
+    return rollup_plans.durations(jobs).select("o_orderkey", "duration_ms")
+
+
+def except_seen(spark, d):
+    """Customers without a finished order."""
+    seen = _t(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return ordered.except_seen(_t(spark, d, "customer").select("c_custkey", "c_name"), seen, "c_custkey")
+
+
+def not_covered(spark, d):
+    """Line items as boxes of quantity and price that no other status' average box covers."""
+    box = lambda x0, y0, x1, y1: F.struct(*[v.cast("double").alias(n) for v, n in ((x0, "x0"), (y0, "y0"), (x1, "x1"), (y1, "y1"))])
+    q, p = F.col("l_quantity"), F.col("l_discount") * 100
+    items = _t(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_returnflag").alias("image_id"), "l_orderkey", box(q, p, q + 4, p + 4).alias("bbox"))
+    heads = spark.createDataFrame([("A", 10.0), ("N", 20.0), ("R", 30.0)], "image_id string, x double").select("image_id", box(F.col("x"), F.lit(0), F.col("x") + 9, F.lit(9)).alias("bbox"))
+    return spatial.not_covered(items, heads, "image_id").select("l_orderkey", "image_id")
+
+
+def position_scores(spark, d):
+    """Scores of line items as if they were numbers on a page of 50 by 100."""
+    x0, y0 = F.col("l_quantity"), F.col("l_discount") * 1000
+    score = numbers.position_score(x0, y0, x0 + 5, y0 + F.col("l_tax") * 100, F.lit(60), F.lit(100), F.lit(4.0))
+    return _t(spark, d, "lineitem").select(score.alias("score")).groupBy("score").agg(F.count("*").alias("n"))
+
+
+def pages_of_orders(spark, d):
+    """Orders as pages: their key in the header, in one word or in parts, two headers, a printed price under each."""
+    o = _t(spark, d, "orders").filter("o_orderkey % 10 = 0").select("o_orderkey", "o_totalprice")
+    key = F.lpad((F.col("o_orderkey") + 300_000_000).cast("string"), 9, "0")
+    word = lambda n, t, x0, y0, x1, y1: F.struct(F.lit(n).alias("word_ord"), t.alias("text"), F.lit(90.0).alias("confidence"), F.struct(F.lit(x0).alias("x0"), F.lit(y0).alias("y0"), F.lit(x1).alias("x1"), F.lit(y1).alias("y1")).alias("bbox"))
+    price = (F.col("o_totalprice") % 1000).cast("decimal(7,2)").cast("string")
+    split = F.col("o_orderkey") % 30 == 0
+    words = F.array(
+        word(0, F.when(split, F.substring(key, 1, 4)).otherwise(key), 500.0, 30.0, 560.0, 60.0), word(1, F.when(split, F.substring(key, 5, 5)).otherwise(F.lit("x")), 565.0, 31.0, 640.0, 61.0),
+        word(2, F.lit("ACTUAL"), 200.0, 300.0, 270.0, 320.0), word(3, F.lit("CHARGED"), 320.0, 300.0, 400.0, 320.0), word(4, price, 205.0, 350.0, 255.0, 365.0), word(5, price, 325.0, 350.0, 375.0, 365.0),
+    )
+    image = F.concat(F.lit("p"), F.col("o_orderkey").cast("string"))
+    pages = o.select(image.alias("image_id"), F.lit(0).alias("rotation"), F.lit("base").alias("pass"), F.explode(words).alias("w")).select("image_id", "rotation", "pass", "w.*")
+    images = o.select(image.alias("image_id"), F.concat(image, F.lit(".jpg")).alias("filename"), F.lit(1000).alias("width"), F.lit(1000).alias("height"), F.lit(1).alias("orientation"))
+    mapping = o.filter("o_orderkey % 70 != 0").select(F.col("o_orderkey").cast("int").alias("row_number"), key.alias("id"), F.round(F.col("o_totalprice") / 1000, 1).alias("weight"))
+    return pages, images, mapping
+
+
+def page_matches(spark, d):
+    """Ids found on the pages, and how."""
+    pages, images, mapping = pages_of_orders(spark, d)
+    return identify.page_matches(pages, images, mapping).select("image_id", "id", "distance", "source")
+
+
+def corrections(spark, d):
+    """Proposed corrections of a whole job over the pages."""
+    pages, images, mapping = pages_of_orders(spark, d)
+    fixes = reconcile.proposed_corrections(reconcile.results(pages, images, mapping))
+    return fixes.select("image_id", "shipment_id", "kind", "original_text", "new_text", "new_weight")
+
+
+def page_results(spark, d):
+    """Status of each page, rolled up."""
+    pages, images, mapping = pages_of_orders(spark, d)
+    return reconcile.results(pages, images, mapping).groupBy("status").agg(F.count("*").alias("n"))
+
+
 SQL = {
     "q01_exact_lookup": "SELECT c_mktsegment, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_final, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0 GROUP BY 1",
     "q02_fuzzy_lookup": "WITH a AS (SELECT c_custkey, 'S' || right(c_name, 5) AS cn FROM customer), b AS (SELECT s_suppkey, 'S' || right(s_name, 5) AS sn FROM supplier) SELECT c_custkey, s_suppkey, levenshtein(cn, sn)::INT AS distance FROM a, b WHERE levenshtein(cn, sn) <= 1",
@@ -223,6 +291,18 @@ SQL = {
         k AS (SELECT t, regexp_matches(t, '^[0-9]{1,6}(\.[0-9]{1,3})?$') AS plain FROM t)
         SELECT plain, NOT plain AND len(t) BETWEEN 2 AND 10 AND regexp_matches(t, '[.,]') AND len(regexp_replace(t, '[^A-Za-z]', '', 'g')) <= 3 AS damaged, count(*) AS n, sum(CASE WHEN regexp_matches(t, '^[0-9]+(\.[0-9]+)?$') THEN t::DECIMAL(18,2) END)::DOUBLE AS total FROM k GROUP BY 1, 2""",
     "q26_semi_request": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
+    "q27_durations": "SELECT o_orderkey, epoch_ms(min(l_shipdate)) - epoch_ms(o_orderdate) AS duration_ms FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderdate",
+    "q28_except_seen": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
+    "q29_not_covered": """WITH h(f, x) AS (VALUES ('A', 10.0::DOUBLE), ('N', 20.0::DOUBLE), ('R', 30.0::DOUBLE)), i AS (SELECT l_orderkey, l_returnflag AS image_id, l_quantity AS q, l_discount * 100 AS p FROM lineitem WHERE l_linenumber = 1)
+        SELECT l_orderkey, image_id FROM i WHERE NOT EXISTS (SELECT 1 FROM h WHERE f = image_id AND greatest(0.0::DOUBLE, least(q + 4, x + 9) - greatest(q, x)) * greatest(0.0::DOUBLE, least(p + 4, 9.0::DOUBLE) - greatest(p, 0.0::DOUBLE)) / ((q + 4 - q) * (p + 4 - p)) >= 0.75::DOUBLE)""",
+    "q30_position_scores": """WITH b AS (SELECT l_quantity AS x0, l_discount * 1000 AS y0, l_quantity + 5 AS x1, l_discount * 1000 + l_tax * 100 AS y1 FROM lineitem)
+        SELECT (CASE WHEN (y0 + y1) / 2 <= 100 * 0.22::DOUBLE THEN 30.0 WHEN (y0 + y1) / 2 <= 100 * 0.34::DOUBLE THEN 12.0 ELSE 0.0 END + CASE WHEN (x0 + x1) / 2 >= 60 * 0.38::DOUBLE THEN 12.0 ELSE 0.0 END + CASE WHEN y1 - y0 >= 4.0::DOUBLE * 1.35::DOUBLE THEN 8.0 ELSE 0.0 END)::DOUBLE AS score, count(*) AS n FROM b GROUP BY 1""",
+    "q31_page_matches": """WITH o AS (SELECT o_orderkey, lpad((o_orderkey + 300000000)::VARCHAR, 9, '0') AS k FROM orders WHERE o_orderkey % 10 = 0), m AS (SELECT k AS id FROM o WHERE o_orderkey % 70 <> 0),
+        exact AS (SELECT 'p' || o_orderkey AS image_id, k AS id, 0 AS distance, CASE WHEN o_orderkey % 30 = 0 THEN 'ocr_fragments' ELSE 'ocr' END AS source FROM o WHERE o_orderkey % 70 <> 0)
+        SELECT * FROM exact UNION ALL
+        SELECT 'p' || a.o_orderkey, m.id, levenshtein(a.k, m.id)::INT, 'ocr_fuzzy' FROM o a JOIN m ON levenshtein(a.k, m.id) = 1 WHERE a.o_orderkey % 70 = 0 QUALIFY row_number() OVER (PARTITION BY a.o_orderkey ORDER BY m.id) = 1""",
+    "q32_corrections": None,
+    "q33_page_results": None,
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(
@@ -231,6 +311,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(
         (
             exact_rollup, fuzzy, exact_then_fuzzy, keep_first, keep_last, upper_median, floor_percentile, true_median, first_mode, islands, overlap_dedupe, nearest_below, containment,
             glyph_repair, url_digits, fuzzy_substring, status_rollup, best_pair, suffix_names, union_distinct, precision, topk_ties, spread_out, band_join, header_words, numeric_tokens, semi_request,
+            durations, except_seen, not_covered, position_scores, page_matches, corrections, page_results,
         ),
         strict=True,
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.config import INTAKE, IntakeConfig
 from tidemark.functions import text
 from tidemark.model import BBOX
+from tidemark.session import ship_package
 
 #: Bytes that image files begin with.
 MAGIC = {"jpg": "ffd8ff", "png": "89504e47"}
@@ -86,6 +87,7 @@ def read_words(files: DataFrame, make_reader: Callable[[], Reader], name: str =
                 rows += [(image, 0, name, k, t, float(c), {"x0": float(x0), "y0": float(y0), "x1": float(x1), "y1": float(y1)}) for k, (t, c, x0, y0, x1, y1) in enumerate(words)]
             yield pd.DataFrame(rows, columns=["image_id", "rotation", "pass", "word_ord", "text", "confidence", "bbox"])
 
+    ship_package(files.sparkSession)
     return files.select("image_id", "content").mapInPandas(run, f"image_id string, rotation int, pass string, word_ord int, text string, confidence double, bbox {BBOX}")
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import INTAKE, IntakeConfig
 from tidemark.operators.ordered import keep_first
+from tidemark.session import ship_package
 
 ID_WORDS = re.compile(r"\b(id|awb|lr|shipment|reference)\b")
 CELLS = "path string, row_number int, cells array<string>"
@@ -92,6 +93,7 @@ def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
                 rows = list(read_cells(content))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], ["path", "row_number", "cells"])
 
+    ship_package(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
     return files.mapInArrow(run, CELLS)
 
