@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import MATCH, MatchConfig
 from tidemark.functions import numbers, text
 from tidemark.operators.ordered import keep_first, top_k
-from tidemark.session import ship_package
+from tidemark.operators.pages import by_page
 
 CANDIDATES = "image_id string, cand_ord int, text string, confidence double, word_ords array<int>, source string, x0 double, y0 double, x1 double, y1 double"
 _NOT_DIGIT = re.compile("[^0-9]")
@@ -56,15 +55,12 @@ def fragment_candidates(words: DataFrame, config: MatchConfig = MATCH, min_lengt
     low = config.min_id_length if min_length is None else min_length
     sure = config.min_confidence if min_confidence is None else min_confidence
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("word_ord")
-        parts = [(d, c, x0, y0, x1, y1, int(o)) for d, c, x0, y0, x1, y1, o in zip(*(page[n] for n in ("digits", "confidence", "x0", "y0", "x1", "y1", "word_ord"))) if d]
-        rows = [(page["image_id"].iloc[0], k, t, c, o, "ocr_fragments" if len(o) > 1 else "ocr", *box) for k, (t, c, o, *box) in enumerate(chains(parts, config.max_chain_length)) if c >= sure and len(t) >= low]
-        return pd.DataFrame(rows, columns=["image_id", "cand_ord", "text", "confidence", "word_ords", "source", "x0", "y0", "x1", "y1"])
+    def rule(page: list[dict]) -> list[tuple]:
+        parts = [(r["digits"], r["confidence"], r["x0"], r["y0"], r["x1"], r["y1"], r["word_ord"]) for r in page]
+        return [(page[0]["image_id"], k, t, c, o, "ocr_fragments" if len(o) > 1 else "ocr", *box) for k, (t, c, o, *box) in enumerate(chains(parts, config.max_chain_length)) if c >= sure and len(t) >= low]
 
-    ship_package(words.sparkSession)
     flat = words.select("image_id", "word_ord", text.digits(F.col("text")).alias("digits"), "confidence", "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
-    return flat.filter("digits != ''").groupBy("image_id").applyInPandas(run, CANDIDATES)
+    return by_page(flat.filter("digits != ''"), rule, CANDIDATES)
 
 
 #: Fragments stand behind all single words.

@@ -1,19 +1,18 @@
 """Column headers and value cells of a page, from its words.
 
 These rules go by order and claim as they go, so they can't be grouped relationally; a page has a few hundred
-words, so each page is one group of a grouped map and memory is bounded by the largest page.
+words, so a task sees one page at a time and memory is bounded by the largest page.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from tidemark.config import MATCH, MatchConfig
 from tidemark.functions import words as W
 from tidemark.model import ANCHORS, REGIONS
 from tidemark.operators.boxes import Anchor, Box, Region, Word, hull
-from tidemark.session import ship_package
+from tidemark.operators.pages import by_page
 
 
 def header_halves(words: list[Word]) -> set[int]:
@@ -138,39 +137,28 @@ def largest_row(regions: list[Region], page_height: float) -> list[Region]:
     return min(rows, key=lambda row: (-len(row), row[0].box.y0))
 
 
-def page_words(page: pd.DataFrame) -> list[Word]:
-    """Words of one page's rows, in reading order."""
-    page = page.sort_values("word_ord")
-    columns = (page[n] for n in ("word_ord", "text", "confidence", "x0", "y0", "x1", "y1"))
-    return [Word(int(o), t or "", float(c or 0), Box(float(a), float(b), float(x), float(y))) for o, t, c, a, b, x, y in zip(*columns)]
+def page_words(page: list[dict]) -> list[Word]:
+    """Words of one page's rows."""
+    return [Word(r["word_ord"], r["text"] or "", float(r["confidence"] or 0), Box(r["x0"], r["y0"], r["x1"], r["y1"])) for r in page]
 
 
 def flat_words(words: DataFrame, images: DataFrame) -> DataFrame:
     """Words with their box's sides and their page's size, the columns that a page's task needs."""
-    ship_package(words.sparkSession)
     flat = words.select("image_id", "word_ord", "text", "confidence", "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
     return flat.join(images.select("image_id", "width", "height", "filename"), "image_id")
 
 
 def anchors(words: DataFrame, images: DataFrame) -> DataFrame:
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        rows = [(page["image_id"].iloc[0], k, {**a.box._asdict(), "height": a.box.height}, [w.text for w in a.words]) for k, a in enumerate(find_anchors(page_words(page)))]
-        return pd.DataFrame(rows, columns=["image_id", "anchor_ord", "bbox", "words"])
+    def rule(page: list[dict]) -> list[tuple]:
+        return [(page[0]["image_id"], k, {**a.box._asdict(), "height": a.box.height}, [w.text for w in a.words]) for k, a in enumerate(find_anchors(page_words(page)))]
 
-    return flat_words(words, images).groupBy("image_id").applyInPandas(run, ANCHORS)
-
-
-def region_rows(image_id: str, regions: list[Region]) -> list[tuple]:
-    return [(image_id, k, r.box._asdict(), r.text, r.anchor_text, r.kind, {"x0": r.cell[0], "x1": r.cell[1]} if r.cell else None) for k, r in enumerate(regions)]
-
-
-REGION_COLUMNS = ["image_id", "region_ord", "bbox", "original_text", "anchor_text", "kind", "cell_bounds"]
+    return by_page(flat_words(words, images), rule, ANCHORS)
 
 
 def regions(words: DataFrame, images: DataFrame, config: MatchConfig = MATCH) -> DataFrame:
-    def run(page: pd.DataFrame) -> pd.DataFrame:
+    def rule(page: list[dict]) -> list[tuple]:
         own = page_words(page)
-        found = find_values(own, find_anchors(own), float(page["height"].iloc[0]), config)
-        return pd.DataFrame(region_rows(page["image_id"].iloc[0], found), columns=REGION_COLUMNS)
+        found = find_values(own, find_anchors(own), float(page[0]["height"]), config)
+        return [(page[0]["image_id"], k, r.box._asdict(), r.text, r.anchor_text, r.kind, {"x0": r.cell[0], "x1": r.cell[1]} if r.cell else None) for k, r in enumerate(found)]
 
-    return flat_words(words, images).groupBy("image_id").applyInPandas(run, REGIONS)
+    return by_page(flat_words(words, images), rule, REGIONS)

@@ -13,7 +13,6 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +21,7 @@ from tidemark.functions import numbers, text
 from tidemark.functions import words as W
 from tidemark.operators import identify, layout, raster
 from tidemark.operators.boxes import Anchor, Box, Region, Word
+from tidemark.operators.pages import by_page
 from tidemark.session import ship_package
 
 _WEIGHTY = re.compile("weight|weigh|ctual|charg|structural|inferred")
@@ -318,31 +318,25 @@ def settle_pages(words: DataFrame, images: DataFrame, matches: DataFrame, raster
     flat = layout.flat_words(words, images).join(matches.select("image_id", F.lit(True).alias("matched")), "image_id", "left")
     flat = flat.join(rasters, "image_id", "left") if rasters is not None else flat.withColumns({"grey": F.lit(None).cast("binary"), "raster_width": F.lit(None).cast("int")})
     # the raster goes with a page's first word only, so it isn't repeated
-    flat = flat.withColumn("grey", F.when(F.col("word_ord") == F.min("word_ord").over(_by_page()), F.col("grey")))
+    first = words.groupBy("image_id").agg(F.min("word_ord").alias("_first"))
+    flat = flat.join(first, "image_id").withColumn("grey", F.when(F.col("word_ord") == F.col("_first"), F.col("grey"))).drop("_first")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        image = rows["image_id"].iloc[0]
+    def rule(rows: list[dict]) -> list[tuple]:
+        image = rows[0]["image_id"]
         try:
             own = layout.page_words(rows)
-            width, height = float(rows["width"].iloc[0]), float(rows["height"].iloc[0])
-            raw = next((g for g in rows["grey"] if g is not None), None)
-            grey = np.frombuffer(raw, np.uint8).reshape(-1, int(rows["raster_width"].iloc[0])) if raw is not None else None
+            width, height = float(rows[0]["width"]), float(rows[0]["height"])
+            raw = next((r["grey"] for r in rows if r["grey"] is not None), None)
+            grey = np.frombuffer(raw, np.uint8).reshape(-1, rows[0]["raster_width"]) if raw is not None else None
             heads = layout.find_anchors(own)
             page = settle(Page(width, height, own, heads, layout.find_values(own, heads, height, config), grey))
-            status, reason = status_of(page, bool(rows["matched"].iloc[0]) if pd.notna(rows["matched"].iloc[0]) else False)
-            found = [{"bbox": r.box._asdict(), "original_text": r.text, "kind": r.kind, "anchor_text": r.anchor_text, "cell_x0": r.cell[0] if r.cell else None, "cell_x1": r.cell[1] if r.cell else None} for r in page.regions]
-            out = (image, status, reason, page.expected, page.trail, found)
+            status, reason = status_of(page, bool(rows[0]["matched"]))
+            found = [{"bbox": {k: float(v) for k, v in r.box._asdict().items()}, "original_text": r.text, "kind": r.kind, "anchor_text": r.anchor_text, "cell_x0": float(r.cell[0]) if r.cell else None, "cell_x1": float(r.cell[1]) if r.cell else None} for r in page.regions]
+            return [(image, status, reason, page.expected, page.trail, found)]
         except Exception as e:  # noqa: BLE001  one bad page never fails the batch
-            out = (image, "error", f"{type(e).__name__}: {e}", None, [], [])
-        return pd.DataFrame([out], columns=["image_id", "status", "reason", "expected", "trail", "regions"])
+            return [(image, "error", f"{type(e).__name__}: {e}", None, [], [])]
 
-    return flat.groupBy("image_id").applyInPandas(run, SETTLED)
-
-
-def _by_page():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("image_id")
+    return by_page(flat, rule, SETTLED)
 
 
 def results(words: DataFrame, images: DataFrame, mapping: DataFrame, rasters: DataFrame | None = None, config: MatchConfig = MATCH) -> DataFrame:
