@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import numbers, text
-from tidemark.operators import identify, ordered, reconcile, spatial
+from tidemark.operators import identify, layout, ordered, reconcile, spatial
 from tidemark.plans import rollup as rollup_plans
 from tidemark.plans.rollup import rollup
 
@@ -257,6 +257,18 @@ def page_results(spark, d):
     return reconcile.results(pages, images, mapping).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def anchors(spark, d):
+    """Column headers of the pages."""
+    pages, images, _ = pages_of_orders(spark, d)
+    return layout.anchors(pages, images).select("image_id", "anchor_ord", F.array_join("words", " ").alias("words"), "bbox.x0")
+
+
+def regions(spark, d):
+    """Value cells of the pages."""
+    pages, images, _ = pages_of_orders(spark, d)
+    return layout.regions(pages, images).select("image_id", "region_ord", "original_text", "kind")
+
+
 SQL = {
     "q01_exact_lookup": "SELECT c_mktsegment, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_final, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0 GROUP BY 1",
     "q02_fuzzy_lookup": "WITH a AS (SELECT c_custkey, 'S' || right(c_name, 5) AS cn FROM customer), b AS (SELECT s_suppkey, 'S' || right(s_name, 5) AS sn FROM supplier) SELECT c_custkey, s_suppkey, levenshtein(cn, sn)::INT AS distance FROM a, b WHERE levenshtein(cn, sn) <= 1",
@@ -303,15 +315,22 @@ SQL = {
         SELECT 'p' || a.o_orderkey, m.id, levenshtein(a.k, m.id)::INT, 'ocr_fuzzy' FROM o a JOIN m ON levenshtein(a.k, m.id) = 1 WHERE a.o_orderkey % 70 = 0 QUALIFY row_number() OVER (PARTITION BY a.o_orderkey ORDER BY m.id) = 1""",
     "q32_corrections": None,
     "q33_page_results": None,
+    "q34_anchors": """SELECT 'p' || o_orderkey AS image_id, a.anchor_ord, a.words, a.x0 FROM orders, (VALUES (0, 'ACTUAL', 200.0::DOUBLE), (1, 'CHARGED', 320.0::DOUBLE)) a(anchor_ord, words, x0) WHERE o_orderkey % 10 = 0""",
+    "q35_regions": """SELECT 'p' || o_orderkey AS image_id, a.region_ord, (o_totalprice % 1000)::DECIMAL(7,2)::VARCHAR AS original_text, a.kind FROM orders, (VALUES (0, 'actual'), (1, 'charged')) a(region_ord, kind) WHERE o_orderkey % 10 = 0""",
 }
 
+SQL["q32_corrections"] = f"""WITH m AS ({SQL["q31_page_matches"]}), o AS (SELECT o_orderkey, o_totalprice, lpad((o_orderkey + 300000000)::VARCHAR, 9, '0') AS k FROM orders WHERE o_orderkey % 10 = 0)
+    SELECT m.image_id, m.id AS shipment_id, v.kind, (p.o_totalprice % 1000)::DECIMAL(7,2)::VARCHAR AS original_text, printf('%.2f', round(w.o_totalprice / 1000, 1)) AS new_text, round(w.o_totalprice / 1000, 1) AS new_weight
+    FROM m JOIN o p ON m.image_id = 'p' || p.o_orderkey JOIN o w ON m.id = w.k, (VALUES ('actual'), ('charged')) v(kind)"""
+SQL["q33_page_results"] = f"""WITH m AS ({SQL["q31_page_matches"]}) SELECT CASE WHEN m.id IS NULL THEN 'unmatched' ELSE 'ok' END AS status, count(*) AS n FROM orders LEFT JOIN m ON m.image_id = 'p' || o_orderkey WHERE o_orderkey % 10 = 0 GROUP BY 1"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(
     zip(
         SQL,
         (
             exact_rollup, fuzzy, exact_then_fuzzy, keep_first, keep_last, upper_median, floor_percentile, true_median, first_mode, islands, overlap_dedupe, nearest_below, containment,
             glyph_repair, url_digits, fuzzy_substring, status_rollup, best_pair, suffix_names, union_distinct, precision, topk_ties, spread_out, band_join, header_words, numeric_tokens, semi_request,
-            durations, except_seen, not_covered, position_scores, page_matches, corrections, page_results,
+            durations, except_seen, not_covered, position_scores, page_matches, corrections, page_results, anchors, regions,
         ),
         strict=True,
     )
