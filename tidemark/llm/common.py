@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
-import zipfile
-from pathlib import Path
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+
+from tidemark.session import ship_package
 
 #: Rows of Arrow batches handed to Python; texts can be long, so batches stay small.
 ARROW_ROWS = 2000
@@ -47,21 +49,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-_shipped: set[str] = set()
+def lean(run: Callable) -> Callable:
+    """A map over Arrow batches that hands its memory back when the task ends.
 
+    Workers stay for later tasks; what their allocator keeps would count beside the JVM's heap meanwhile.
+    """
 
-def ship_package(spark: SparkSession) -> None:
-    """Hand this package to the executors' Python workers, once for each application."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(), f"{package.name}.zip")
-    with zipfile.ZipFile(target, "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, file.relative_to(package.parent))
-    context.addPyFile(target)
-    _shipped.add(context.applicationId)
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
 
 
 def prepare(spark: SparkSession) -> None:
@@ -72,6 +73,3 @@ def prepare(spark: SparkSession) -> None:
 
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-__all__ = ["ARROW_ROWS", "StorageLevel", "ascii_lower", "cut", "ensure_checkpoint_dir", "prepare", "release", "shared_folder", "ship_package", "table"]

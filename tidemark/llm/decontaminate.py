@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare
+from tidemark.llm.common import lean, prepare
 from tidemark.llm.textvec import ALNUM, LOWER, U, blocks, mix, odd_numbers, shingles
 
 EDIT_SHARE, MIN_WORDS = 0.2, 5
@@ -240,7 +240,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                             ["doc_id", "item_id", "distance", "item_words", "start_word", "end_word"],
                         )
 
-        part = docs.select("doc_id", "text").mapInArrow(run, OUT)
+        part = docs.select("doc_id", "text").mapInArrow(lean(run), OUT)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], OUT)
 
@@ -260,7 +260,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     keep[[block.first + r[0] for r in match_block(shared.value, block)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(lean(run), schema)
     return docs
 
 

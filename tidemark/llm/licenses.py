@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare
+from tidemark.llm.common import lean, prepare
 from tidemark.llm.textvec import ALNUM, LOWER, blocks, phrase_hashes
 
 # The phrases and labels of the contract.
@@ -84,7 +84,7 @@ def document_frequencies(docs: DataFrame, words: list[str]) -> tuple[int, dict[s
                 sums += np.bincount(pairs % len(ranked), minlength=len(ranked))
         yield pa.RecordBatch.from_arrays([pa.array([-1, *order.tolist()], pa.int32()), pa.array([total, *sums.tolist()], pa.int64())], ["word", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(lean(count), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     got = {r["word"]: r["n"] for r in rows}
     return got.get(-1, 0), {w: got.get(k, 0) for k, w in enumerate(words)}
 
@@ -142,7 +142,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
             for block in blocks(batch.column(1)):
                 yield scan_block(batch.column(0).slice(block.first, block.n), block, index, phrases)
 
-    return docs.select("doc_id", "text").mapInArrow(run, OUT)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), OUT)
 
 
 def scan_block(ids: pa.Array, block, index: RareIndex, phrases) -> pa.RecordBatch:

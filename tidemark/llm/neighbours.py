@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare
+from tidemark.llm.common import lean, prepare
 
 TREES, BITS, SHARE, LEAST = 32, 48, 0.8, 256
 SHARD, QUERY_BLOCK = 100_000, 20_000
@@ -158,7 +158,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             for n in list(waiting):
                 yield from answer(n)
 
-        part = rows.mapInArrow(run, "query_id long, vec_id long, score double")
+        part = rows.mapInArrow(lean(run), "query_id long, vec_id long, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], "query_id long, vec_id long, score double")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import prepare
+from tidemark.llm.common import lean, prepare
 from tidemark.llm.labelled import crc_class, sample
 from tidemark.llm.textvec import NOT_BLANK, Block, U, blocks, mix, run_hashes, shingles, unique_by_text
 
@@ -82,7 +82,7 @@ def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array([*range(TERMS), -1], pa.int32()), pa.array([*sums.tolist(), total], pa.int64())], ["term", "n"])
 
     out, total = np.zeros(TERMS), 0
-    for r in docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(lean(count), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         if r["term"] < 0:
             total = r["n"]
         else:
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n, df = frequencies(docs)
     idf = np.log((1 + n) / (1 + df)) + 1
     few = sample(docs, labels, "quality", crc_class(F.col("doc_id"), MODULUS) != HELD_OUT, SAMPLE, per_label=True).select("doc_id", "y", "text")
-    rows = sorted((r["doc_id"], r["y"], bytes(r["columns"]), bytes(r["counts"])) for r in few.mapInArrow(extract, "doc_id long, y int, columns binary, counts binary").collect())
+    rows = sorted((r["doc_id"], r["y"], bytes(r["columns"]), bytes(r["counts"])) for r in few.mapInArrow(lean(extract), "doc_id long, y int, columns binary, counts binary").collect())
     return Model(idf, [(y, np.frombuffer(c, np.int32), np.frombuffer(m, np.int32)) for _, y, c, m in rows])
 
 
@@ -169,7 +169,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             got = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*batch.schema.names, SCORE])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Texts as byte arrays: words, word hashes and shingles of whole Arrow columns, without Python strings.
 
-A block holds consecutive texts, about a megabyte or one text if it is longer, so that working vectors stay
-small at any text length.
+A block holds consecutive texts, about a quarter of a megabyte or one text if it is longer, so that working
+vectors stay small at any text length.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)

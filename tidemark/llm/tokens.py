@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import prepare
+from tidemark.llm.common import lean, prepare
 from tidemark.llm.textvec import NOT_BLANK, blocks
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -142,7 +142,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                     ["doc_id", "n_words", "n_tokens", "n_bytes"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_bytes long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_words long, n_tokens long, n_bytes long")
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare
+from tidemark.llm.common import lean, prepare
 from tidemark.llm.labelled import crc_class, sample
 from tidemark.llm.textvec import ALNUM, LOWER, RunHasher, blocks, mix, run_hashes
 
@@ -147,7 +147,7 @@ def select_terms(few: DataFrame) -> list[bytes]:
     negative = n - positive
     if not positive or not negative:
         return []
-    uses = few.filter("y = 1").select("text").mapInArrow(spread, "term binary, around long").groupBy("term", "around").agg(F.count("*").alias("m"))
+    uses = few.filter("y = 1").select("text").mapInArrow(lean(spread), "term binary, around long").groupBy("term", "around").agg(F.count("*").alias("m"))
     often = uses.groupBy("term").agg(F.sum("m").alias("a"), F.count("*").alias("places"))
     often = often.filter((F.col("places") >= MIN_DOCUMENTS) & (F.col("places") >= F.col("a") * MIN_PLACES))
     # terms of a bounded sample, at most MOST_LISTED
@@ -203,7 +203,7 @@ def frequencies(docs: DataFrame, words: list[bytes]) -> tuple[int, np.ndarray]:
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int32()), pa.array([*sums[at].tolist(), total], pa.int64())], ["word", "n"])
 
-    got = {r["word"]: r["n"] for r in docs.select("text").mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    got = {r["word"]: r["n"] for r in docs.select("text").mapInArrow(lean(count), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     return got.get(-1, 0), np.array([got.get(k, 0) for k in range(len(words))], float)
 
 
@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
                     ["doc_id", "y", "columns", "counts"],
                 )
 
-    rows = sorted((r["doc_id"], r["y"], bytes(r["columns"]), bytes(r["counts"])) for r in few.mapInArrow(extract, "doc_id long, y int, columns binary, counts binary").collect())
+    rows = sorted((r["doc_id"], r["y"], bytes(r["columns"]), bytes(r["counts"])) for r in few.mapInArrow(lean(extract), "doc_id long, y int, columns binary, counts binary").collect())
     bare = [y for _, y, c, _ in rows if not c]
     all_y = [r[1] for r in rows]
     base = float(np.mean(bare)) if bare else float(np.mean(all_y)) if all_y else 0.0
@@ -259,7 +259,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
                     [batch.column(0).slice(block.first, block.n).cast(pa.int64()), pa.array(scores, pa.float64()), pa.array(words, pa.string()), pa.array(nearest, pa.list_(pa.int64()))], ["doc_id", "score", "evidence", "nearest"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, evidence string, nearest array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, score double, evidence string, nearest array<long>")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
