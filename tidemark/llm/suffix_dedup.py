@@ -37,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, prepare, release
+from tidemark.llm.common import cut, lean, prepare, release
 from tidemark.llm.textvec import Block, U, blocks, column_bytes, mix, odd_numbers
 
 LENGTH, SEED = 200, 64
 BLOCK, PIECE = 1 << 17, 1 << 20
 GROUP = 2000
+#: A cell has fewer strings than LENGTH.
+STRING_BITS = 12
 _FIRST = odd_numbers(256, 77)
 
 
@@ -130,7 +132,7 @@ def seed_ranks(docs: DataFrame, length: int, seed: int) -> DataFrame:
             rank, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, U), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(n, pa.int64())], ["seed_rank", "n"])
 
-    return docs.select("text").mapInArrow(run, "seed_rank long, n long")
+    return docs.select("text").mapInArrow(lean(run), "seed_rank long, n long")
 
 
 def cells(docs: DataFrame, length: int, seed: int) -> DataFrame:
@@ -148,7 +150,7 @@ def cells(docs: DataFrame, length: int, seed: int) -> DataFrame:
                 rank, content, keys, start, count = (np.concatenate(x) for x in zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(content), pa.array(keys), pa.array(start, pa.int32()), pa.array(count, pa.int16())], ["seed_rank", "content", "key", "start", "strings"])
 
-    return docs.select(row_key(), "text").mapInArrow(run, "seed_rank long, content long, key long, start int, strings short")
+    return docs.select(row_key(), "text").mapInArrow(lean(run), "seed_rank long, content long, key long, start int, strings short")
 
 
 def string_ranks(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -178,7 +180,7 @@ def string_ranks(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     ["seed_rank", "salt", "key", "start", "open", "ranks"],
                 )
 
-    return texts.mapInArrow(run, "seed_rank long, salt int, key long, start int, open boolean, ranks binary")
+    return texts.mapInArrow(lean(run), "seed_rank long, salt int, key long, start int, open boolean, ranks binary")
 
 
 def runs(start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,11 +241,17 @@ def decide(rows: DataFrame) -> DataFrame:
                 waiting.append((key, start, is_open, names))
         yield from close()
 
-    return rows.repartition("seed_rank", "salt").sortWithinPartitions("seed_rank", "salt").mapInArrow(run, SPANS)
+    return rows.repartition("seed_rank", "salt").sortWithinPartitions("seed_rank", "salt").mapInArrow(lean(run), SPANS)
+
+
+def as_number(start: Column, strings: Column) -> Column:
+    return F.shiftleft(start.cast("long"), STRING_BITS) + strings
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(key, spans: array of (start, strings)): where strings start that also start elsewhere, by row key."""
+    if not seed <= length < 1 << STRING_BITS:
+        raise ValueError(f"length must be from {seed} to {(1 << STRING_BITS) - 1}")
     again = cut(seed_ranks(docs, length, seed).groupBy("seed_rank").agg(F.sum("n").alias("n")).filter("n > 1").select("seed_rank"))
     alive = cut(cells(docs, length, seed).join(again, "seed_rank"))
     del again
@@ -251,9 +259,13 @@ def repeated(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFra
     contents = alive.groupBy("seed_rank", "content").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "strings")).alias("one"))
     contents = cut(contents)
     kinds = contents.groupBy("seed_rank").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    # a sample with one content repeats as a whole; cells of a repeated content too
-    spans = alive.join(contents.filter("n > 1").select("seed_rank", "content"), ["seed_rank", "content"]).select("key", "start", F.col("strings").cast("int").alias("strings"))
-    spans = cut(spans.groupBy("key").agg(F.collect_list(F.struct("start", "strings")).alias("spans")))
+    # all cells of a text but those whose content stands once; of these contents the one cell is known
+    # a cell as one number, as sets of numbers are compared by hash
+    single = contents.filter("n = 1").groupBy(F.col("one.key").alias("key")).agg(F.collect_list(as_number(F.col("one.start"), F.col("one.strings"))).alias("single"))
+    spans = alive.groupBy("key").agg(F.collect_list(as_number(F.col("start"), F.col("strings"))).alias("spans")).join(single, "key", "left")
+    spans = spans.select("key", F.when(F.col("single").isNull(), F.col("spans")).otherwise(F.array_except("spans", "single")).alias("spans"))
+    back = F.transform("spans", lambda n: F.struct(F.shiftright(n, STRING_BITS).cast("int").alias("start"), n.bitwiseAND(F.lit((1 << STRING_BITS) - 1)).cast("int").alias("strings")))
+    spans = cut(spans.select("key", back.alias("spans")))
     del alive
     release(docs.sparkSession)
     salt = F.when(F.col("kinds") > GROUP, F.pmod(F.xxhash64("content"), F.ceil(F.col("kinds") / GROUP))).otherwise(F.lit(-1)).cast("int")
@@ -316,7 +328,7 @@ def remove(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame
             )
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return joined.mapInArrow(run, f"{fields}, _n_bytes long, _n_removed long, _n_spans long, _sha256 string")
+    return joined.mapInArrow(lean(run), f"{fields}, _n_bytes long, _n_removed long, _n_spans long, _sha256 string")
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
@@ -327,3 +339,21 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 def strip_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """The documents without their repeated bytes, with their own columns; those left without text go."""
     return remove(docs, length, seed).filter("_n_removed = 0 or length(trim(text)) > 0").select(*docs.columns)
+
+
+#: The same by brute force, for DuckDB: all strings of 200 bytes, their digests counted.
+OP1_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT rid, i, md5(substr(h, 2 * i + 1, 400)) AS w FROM (SELECT rid, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d)),
+rep AS (SELECT w FROM win GROUP BY w HAVING count(*) > 1),
+starts AS (SELECT rid, i FROM win WHERE w IN (SELECT w FROM rep)),
+marked AS (SELECT rid, i, CASE WHEN i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 1 ELSE 0 END AS fresh FROM starts),
+numbered AS (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS span FROM marked),
+spans AS (SELECT rid, min(i) AS s, max(i) + 200 AS e FROM numbered GROUP BY rid, span),
+edges AS (SELECT rid, s, e, lag(e, 1, 0) OVER (PARTITION BY rid ORDER BY s) AS before FROM spans),
+cut AS (SELECT rid, sum(e - s)::BIGINT AS removed, count(*) AS n, max(e) AS last FROM edges GROUP BY rid),
+pieces AS (SELECT e.rid, string_agg(substr(d.h, 2 * e.before + 1, 2 * (e.s - e.before)), '' ORDER BY e.s) AS kept FROM edges e JOIN d ON e.rid = d.rid GROUP BY e.rid)
+SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(c.removed, 0)::BIGINT AS n_removed, coalesce(c.n, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN c.rid IS NULL THEN d.h ELSE p.kept || substr(d.h, 2 * c.last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut c ON d.rid = c.rid LEFT JOIN pieces p ON d.rid = p.rid
+"""
