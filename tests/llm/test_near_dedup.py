@@ -88,5 +88,7 @@ def test_keep_one(docs, odd):
     out = keep_one(docs(rows))
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted((r["doc_id"], r["text"]) for r in out.collect() if r["doc_id"] != 2) == [(3, text + " end"), (11, rows[3][1])]
-    assert [r["text"] for r in out.collect() if r["doc_id"] == 2] == [None]
+    assert [r["text"] for r in out.collect() if r["doc_id"] == 2] == [None, None]
     assert sorted((r["doc_id"] for r in keep_one(docs(odd)).collect()), key=str) == [1, 2, 3, 4, 5, 7, None]
+    twice = [(1, text), (1, "another text under the same id, which stays"), (1, text), (None, text)]
+    assert sorted(r["text"] for r in keep_one(docs(twice)).collect()) == sorted([text, twice[1][1]])

@@ -21,8 +21,8 @@ and components join through the other members. README gives measured recall.
 
 Defined results: null and empty texts have no shingles, are linked with nothing and are their own component;
 a text with fewer words than WIDTH is one shingle of all its words; equal rows share a component; a null
-doc_id never becomes a component's id unless the component has no other; repeated doc_ids keep all their rows
-in ``link`` and one row in ``keep_one``; an empty table gives an empty result; other columns are ignored.
+doc_id never becomes a component's id unless the component has no other; repeated doc_ids have all their rows
+in the result; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, prepare
+from tidemark.llm.common import cut, lean, prepare
 from tidemark.llm.graph import connected_components
 from tidemark.llm.textvec import LOWER, NOT_BLANK, U, blocks, mix, odd_numbers, shingles, unique_by_text, whole
 
@@ -97,7 +97,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                     ["doc_id", "text_key", "n", "cid", "sig"],
                 )
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n long, cid long, sig binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(lean(run), "doc_id long, text_key long, n long, cid long, sig binary")
 
 
 def tree_place(tree: int) -> int:
@@ -241,10 +241,10 @@ def in_order(rows: DataFrame, process: Callable, schema: str, count: int) -> Dat
             for last in tail.slice(max(0, len(tail) - WINDOW)).combine_chunks().to_batches():
                 yield pa.RecordBatch.from_arrays([*last.columns, pa.array([part] * len(last), pa.int32())], [*names, "side"])
 
-    out = ranged.mapInArrow(process, schema)
+    out = ranged.mapInArrow(lean(process), schema)
     if ranged.rdd.getNumPartitions() > 1:
         kinds = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
-        sides = ranged.mapInArrow(ends, f"{kinds}, side int").repartition(parts, "side").sortWithinPartitions("side", "tree", "sig")
+        sides = ranged.mapInArrow(lean(ends), f"{kinds}, side int").repartition(parts, "side").sortWithinPartitions("side", "tree", "sig")
 
         def by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting, at = [], None
@@ -260,7 +260,7 @@ def in_order(rows: DataFrame, process: Callable, schema: str, count: int) -> Dat
             if waiting:
                 yield from process(iter(waiting))
 
-        out = out.unionByName(sides.mapInArrow(by_side, schema))
+        out = out.unionByName(sides.mapInArrow(lean(by_side), schema))
     return out
 
 
@@ -300,11 +300,11 @@ def confirm_pairs(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width:
                     v.append(hub)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(lean(run), "u long, v long")
 
 
-def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, n, cid) of every row, and (cid, group) of every class that has shingles."""
     prepare(docs.sparkSession)
     base = cut(describe(docs, width))
     low = F.min(F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "text_key")).alias("low")
@@ -327,34 +327,62 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
             again = labelled.join(flagged, ["tree", "cid"]).join(texts, "cid").select("tree", "key", "sig", "cid", "comp", "text")
             more = in_order(again, confirm(width, percent), "u long, v long", left)
             links = cut(links.union(more))
-    ids = classes.select("cid", F.col("low.doc_id").alias("doc_id"))
+    found = classes.select("cid", F.col("cid").alias("group"))
     if links is not None:
-        parts = connected_components(links)
-        named = parts.join(ids, parts.node == ids.cid).groupBy("component").agg(F.min("doc_id").alias("name"))
-        ids = ids.join(parts.join(named, "component").select(F.col("node").alias("cid"), "name"), "cid", "left").select("cid", F.coalesce("name", "doc_id").alias("name"))
-    else:
-        ids = ids.select("cid", F.col("doc_id").alias("name"))
-    all_ = base.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(ids.withColumnRenamed("cid", "_cid"), (F.col("cid") == F.col("_cid")) & (F.col("n_shingles") > 0), "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("name")).otherwise(F.col("doc_id"))
-    return all_.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+        parts = connected_components(links).select(F.col("node").alias("_node"), "component")
+        found = classes.select("cid").join(parts, F.col("cid") == F.col("_node"), "left").select("cid", F.coalesce("component", "cid").alias("group"))
+    return base, cut(found)
+
+
+def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    base, found = groups(docs, width, percent)
+    full = base.filter("n > 0").select("doc_id", "n", "cid").join(found, "cid")
+    names = cut(full.groupBy("group").agg(F.min("doc_id").alias("name")))
+    named = full.join(names, "group").select("doc_id", F.col("n").alias("n_shingles"), F.col("name").alias("component_id"))
+    bare = base.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return named.unionByName(bare).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The documents with the smallest id of each group, with their own columns; one row for each doc_id.
+    """One document of each group, the one with the smallest id, with its own columns; texts without words all stay.
 
-    Rows with a null doc_id stay if their text has no shingle or no group with an id.
+    Of equal rows one stays; a row with a null id stands for its group only if no other does.
     """
-    decided = cut(link(docs, width, percent))
-    kept = decided.filter("kept").groupBy("doc_id").agg(F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_id")
-    kept = cut(kept)
-    if kept.count() <= BROADCAST_IDS:  # 16 bytes each
-        kept = F.broadcast(kept)
-    named = docs.join(kept, F.col("doc_id") == F.col("_id"))
-    single = named.filter("_rows = 1").select(*docs.columns)
-    if not decided.filter("kept").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        single = single.unionByName(named.filter("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
-    return single.unionByName(docs.filter("doc_id is null"))
+    base, found = groups(docs, width, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "text_key")).alias("first")
+    chosen = base.filter("n > 0").join(found, "cid").groupBy("group").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
+    rows = base.filter("n > 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("_rows"))
+    chosen = cut(chosen.join(rows, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key"))).select("_id", "_key", "_rows"))
+    several = not chosen.filter("_rows > 1").isEmpty()
+    if chosen.count() <= BROADCAST_IDS:  # 24 bytes each
+        chosen = F.broadcast(chosen)
+    wordy = F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    named = docs.filter(wordy).withColumn("_text_key", F.xxhash64("text")).join(chosen, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    kept = named.filter("_rows = 1").select(*docs.columns) if several else named.select(*docs.columns)
+    if several:
+        kept = kept.unionByName(named.filter("_rows > 1").dropDuplicates(["_id", "_key"]).select(*docs.columns))
+    return kept.unionByName(docs.filter(~wordy))
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
     return link(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same by brute force, for DuckDB: all pairs that share a shingle, and their reach.
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+one AS (SELECT list_sort(s) AS s, min(rid) AS cid, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY ALL),
+x AS (SELECT cid, n, unnest(s) AS g FROM one),
+pairs AS (SELECT a.cid AS u, b.cid AS v FROM x a JOIN x b ON a.g = b.g AND a.cid < b.cid GROUP BY a.cid, b.cid, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ AS (SELECT u, v FROM pairs UNION SELECT v, u FROM pairs),
+reach(a, b) AS (SELECT cid, cid FROM one UNION SELECT r.a, e.v FROM reach r JOIN both_ e ON r.b = e.u),
+comp AS (SELECT a AS cid, min(b) AS k FROM reach GROUP BY a),
+rows_ AS (SELECT s.rid, s.doc_id, len(s.s) AS n, c.k FROM s LEFT JOIN one o ON list_sort(s.s) = o.s LEFT JOIN comp c ON o.cid = c.cid),
+named AS (SELECT k, min(doc_id) AS name FROM rows_ WHERE k IS NOT NULL GROUP BY k)
+SELECT r.doc_id, r.n::BIGINT AS n_shingles, CASE WHEN r.k IS NULL THEN r.doc_id ELSE m.name END AS component_id,
+  coalesce(r.doc_id = CASE WHEN r.k IS NULL THEN r.doc_id ELSE m.name END, false) AS kept
+FROM rows_ r LEFT JOIN named m ON r.k = m.k
+"""

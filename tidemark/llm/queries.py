@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.decontaminate import op6_decontaminate
 from tidemark.llm.licenses import op5_license_scan
 from tidemark.llm.mixture import OP4_SQL, op4_mix_sources
-from tidemark.llm.near_dedup import op7_near_dedup
+from tidemark.llm.near_dedup import OP7_SQL, op7_near_dedup
 from tidemark.llm.neighbours import op2_nearest
 from tidemark.llm.quality import op3_quality
-from tidemark.llm.suffix_dedup import op1_suffix_dedup
+from tidemark.llm.suffix_dedup import OP1_SQL, op1_suffix_dedup
 from tidemark.llm.tokens import op9_token_counts
 from tidemark.llm.toxicity import op8_toxicity
 from tidemark.llm.url_filter import OP10_SQL, op10_url_filter
@@ -41,4 +41,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": OP4_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op4_mix_sources": OP4_SQL, "op7_near_dedup": OP7_SQL, "op10_url_filter": OP10_SQL}
