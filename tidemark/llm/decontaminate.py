@@ -42,6 +42,8 @@ WALKS, PICKED = 6, 2
 TARGET_RECALL = 0.999
 AGREEMENT = 0.3
 ITEM_BLOCK = 20_000
+#: Words of windows that are compared at once.
+CELLS = 400_000
 OUT = "doc_id long, item_id long, distance int, item_words int, start_word long, end_word long"
 
 
@@ -64,10 +66,6 @@ class Items:
         self.words = [h for _, h in kept]
         self.size = np.array([len(h) for h in self.words], np.int64)
         self.edits = (self.size * EDIT_SHARE + 1e-9).astype(np.int64)
-        self.longest = int(self.size.max()) if kept else 0
-        self.padded = np.zeros((len(kept), self.longest), U)
-        for k, h in enumerate(self.words):
-            self.padded[k, : len(h)] = h
         pieces: dict[int, list[tuple[int, int, int]]] = {}
         for k, h in enumerate(self.words):
             m, parts = len(h), int(self.edits[k]) + 1
@@ -84,6 +82,13 @@ class Items:
             low[hashes & U((1 << 22) - 1)] = True
             self.pieces[width] = hashes, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), low
 
+    def padded(self, item: np.ndarray, width: int) -> np.ndarray:
+        """Words of the given items, one row each."""
+        out = np.zeros((len(item), width), U)
+        for k in np.unique(item):
+            out[item == k, : self.size[k]] = self.words[k]
+        return out
+
     def seeds(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, implied window start), distinct, of all pieces found in the words."""
         items, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -131,7 +136,7 @@ def candidates(items: Items, item: np.ndarray, windows: np.ndarray) -> np.ndarra
         left = np.flatnonzero(~out)
         if not len(left):
             break
-        a, b = walk(windows[left], size[left], r), walk(items.padded[item[left], : windows.shape[1]], size[left], r)
+        a, b = walk(windows[left], size[left], r), walk(items.padded(item[left], windows.shape[1]), size[left], r)
         same = (a == b) & (a != 0)
         rng = np.random.RandomState(90 + r)
         share = rng.random_sample((per_walk, PICKED))
@@ -163,8 +168,9 @@ def verify(items: Items, item: np.ndarray, start: np.ndarray, doc: np.ndarray, h
     for k in np.unique(item):
         own = np.flatnonzero(item == k)
         m, edits, words = int(items.size[k]), int(items.edits[k]), items.words[k]
-        for lo in range(0, len(own), 4096):
-            part = own[lo : lo + 4096]
+        step = max(1, CELLS // (m + 2 * edits))
+        for lo in range(0, len(own), step):
+            part = own[lo : lo + step]
             at = start[part][:, None] - edits + np.arange(m + 2 * edits)
             inside = (at >= first[doc[part]][:, None]) & (at < first[doc[part] + 1][:, None])
             regions = np.where(inside, h[np.clip(at, 0, len(h) - 1)], U(0))
@@ -187,9 +193,15 @@ def match_block(items: Items, block) -> list[tuple[int, int, int, int, int]]:
     if not len(h) or not items.pieces:
         return []
     item, key = items.seeds(h, w.doc)
-    found = []
-    for lo in range(0, len(item), 8192):
-        part, own = item[lo : lo + 8192], key[lo : lo + 8192]
+    # windows of about one length together, so that a few long items don't widen all rows
+    order = np.argsort(items.size[item], kind="stable")
+    item, key = item[order], key[order]
+    found, lo = [], 0
+    while lo < len(item):
+        hi = lo + max(1, CELLS // int(items.size[item[lo]]))
+        hi = lo + max(1, min(hi - lo, CELLS // int(items.size[item[min(hi, len(item)) - 1]])))
+        part, own = item[lo:hi], key[lo:hi]
+        lo = hi
         # a start before the first word of all borrows from the text's number
         doc = (own + (1 << 39)) >> 40
         start = own - (doc << 40)
