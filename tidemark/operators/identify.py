@@ -11,6 +11,7 @@ from tidemark.config import MATCH, MatchConfig
 from tidemark.functions import numbers, text
 from tidemark.operators.ordered import keep_first, top_k
 from tidemark.operators.pages import by_page
+from tidemark.session import cut
 
 CANDIDATES = "image_id string, cand_ord int, text string, confidence double, word_ords array<int>, source string, x0 double, y0 double, x1 double, y1 double"
 _NOT_DIGIT = re.compile("[^0-9]")
@@ -115,7 +116,8 @@ def fuzzy_lookup(df: DataFrame, key: str, reference: DataFrame, id_: str, k: int
 
 def page_matches(words: DataFrame, images: DataFrame, mapping: DataFrame, config: MatchConfig = MATCH) -> DataFrame:
     """One match for each page: exact by its words, else by its file name, else near by its words."""
-    cands = scored(candidates(words, config), words, images)
+    # used three times; chains of a page are put together once
+    cands = cut(scored(candidates(words, config), words, images))
     ids = mapping.select(F.col("id").alias("_known"), F.col("row_number").alias("_row"))
     columns = ["image_id", "id", "distance", "confidence", "score", "source", "word_ords"]
     exact = exact_lookup(cands, "text", ids, "_known").select("image_id", F.col("_known").alias("id"), F.lit(0).alias("distance"), "confidence", "score", "source", "word_ords", "cand_ord", "_row")

@@ -22,7 +22,7 @@ from tidemark.functions import words as W
 from tidemark.operators import identify, layout, raster
 from tidemark.operators.boxes import Anchor, Box, Region, Word
 from tidemark.operators.pages import by_page
-from tidemark.session import ship_package
+from tidemark.session import cut, ship_package
 
 _WEIGHTY = re.compile("weight|weigh|ctual|charg|structural|inferred")
 
@@ -341,7 +341,7 @@ def settle_pages(words: DataFrame, images: DataFrame, matches: DataFrame, raster
 
 def results(words: DataFrame, images: DataFrame, mapping: DataFrame, rasters: DataFrame | None = None, config: MatchConfig = MATCH) -> DataFrame:
     """One row for each image: status, id and its source, new weight, regions. Images without words are unmatched."""
-    matches = identify.page_matches(words, images, mapping, config)
+    matches = cut(identify.page_matches(words, images, mapping, config))
     settled = settle_pages(words, images, matches, rasters, config)
     own = identify.header_ids(words, images, config).select("image_id", F.col("id").alias("_own"), F.col("source").alias("_own_source"))
     weights = mapping.select(F.col("id").alias("_id"), F.col("weight").alias("new_weight"))

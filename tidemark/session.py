@@ -1,4 +1,4 @@
-"""What a Spark application needs of this package: its code on the executors."""
+"""What a Spark application needs of this package: its code on the executors, and a place for cut lineages."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +24,18 @@ def ship_package(spark: SparkSession) -> None:
             out.write(file, file.relative_to(package.parent))
     context.addPyFile(target)
     _shipped.add(context.applicationId)
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the folder named by ``spark.checkpoint.dir``; only where that is unset (tests), a local one."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise a frame in the shared checkpoint folder, so that a lost executor costs no recomputation."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
