@@ -1,48 +1,31 @@
-"""Shared plumbing: safe column access, durable lineage cuts, hashing of rows."""
+"""Shared plumbing of the operators: tables, Arrow maps, memory, the shared folder."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import ship_package
+from tidemark.session import cut, ensure_checkpoint_dir, ship_package
 
-#: Rows of Arrow batches handed to Python; texts can be long, so batches stay small.
-ARROW_ROWS = 2000
+#: Most rows and bytes of an Arrow batch handed to Python; texts can be long, so batches stay small.
+ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by ``spark.checkpoint.dir``; only where that is unset (tests), a local one."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as a URL: where checkpoints go."""
     ensure_checkpoint_dir(spark)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def release(spark: SparkSession) -> None:
     """Let go of shuffle files that nothing needs any more, instead of whenever the driver collects its garbage."""
     gc.collect()
@@ -66,10 +49,14 @@ def lean(run: Callable) -> Callable:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the code, and bound the rows of one Arrow batch: long texts have to fit beside the vectors made from them."""
+    """Ship the code, and bound Arrow batches: long texts have to fit beside the vectors made from them."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+__all__ = ["ascii_lower", "cut", "lean", "prepare", "release", "shared_folder", "table"]
