@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tidemark.llm import near_dedup
@@ -92,3 +93,35 @@ def test_keep_one(docs, odd):
     assert sorted((r["doc_id"] for r in keep_one(docs(odd)).collect()), key=str) == [1, 2, 3, 4, 5, 7, None]
     twice = [(1, text), (1, "another text under the same id, which stays"), (1, text), (None, text)]
     assert sorted(r["text"] for r in keep_one(docs(twice)).collect()) == sorted([text, twice[1][1]])
+
+
+def test_partners_far_apart_in_a_crowded_region(spark):
+    """Two signatures that agree but in one value, at the two ends of a region of 700."""
+    rng = np.random.RandomState(12)
+    sig = rng.randint(1, 65535, (700, near_dedup.VALUES)).astype(np.uint16)
+    sig[:, :2] = 7
+    sig[699] = sig[0]
+    sig[0, 2], sig[699, 2] = 0, 65535
+    raw = [s.astype(">u2").tobytes() for s in sig]
+    rows = [(0, bytearray(s[:48]), bytearray(s[:4]), 700, k, k, bytearray(s)) for k, s in enumerate(raw)]
+    frame = spark.createDataFrame(rows, "tree int, key binary, head binary, m long, cid long, comp long, sig binary")
+    near = near_dedup.in_order(frame, near_dedup.nearest, "cid long, other long, agree double", 700).collect()
+    assert [sorted((r["cid"], r["other"])) for r in near] == [[0, 699]]
+
+
+@pytest.mark.parametrize("crowd", [1024, 64])
+def test_crowded_family_against_brute_force(docs, monkeypatch, crowd):
+    """A family of similarities about 0.7 with some pairs over 0.8; regions in one piece and in blocks."""
+    monkeypatch.setattr(near_dedup, "CROWD", crowd, raising=False)
+    rng = random.Random(13)
+    base, rows = [f"b{k}" for k in range(200)], []
+    for k in range(400):
+        t = list(base)
+        for at in rng.sample(range(0, 200, 5), 8):
+            t[at] = f"x{k}-{at}"
+        rows.append((2 * k, " ".join(t)))
+        if k % 20 == 0:
+            t[rng.randrange(1, 200, 5)] = f"y{k}"
+            rows.append((2 * k + 1, " ".join(t)))
+    rng.shuffle(rows)
+    assert result(docs(rows)) == brute(rows)

@@ -2,22 +2,21 @@
 
 1. Sets. Each text becomes the set of its distinct shingles of ``WIDTH`` words and a signature of ``VALUES``
    minimum hashes. Texts with equal sets make one class, which is all that goes on; copies cost one row each.
-2. Forest. A tree is an order of the classes: the signature, read from the tree's own place on, sorted.
-   Classes that share no ``DEPTH`` leading values with another drop out by a count before signatures move.
-   The others are range-partitioned and sorted by tree and signature, and each class looks at the
-   ``WINDOW`` classes before it for as long as they share the leading values: these are the ones with the
-   longest common prefix, so the depth adapts to how crowded a region is. Rows near a partition's ends are
-   compared again across the cut. Signatures that agree less than ``AGREE`` are no candidates.
-3. First round. Each class is joined with its most alike neighbour of all trees and the pair confirmed on
+2. Forest. A tree reads ``DEPTH`` values of the signature from its own place on; classes that share them are a
+   region of the tree. Classes alone in their region drop out by a count before signatures move. All classes
+   of a region are compared with each other, at any size of the region, and a pair in the first tree only in
+   which it meets. Signatures that agree less than ``AGREE`` are no candidates.
+3. Pieces. A region of up to ``CROWD`` classes is one piece; a larger one is dealt into blocks of about that
+   many, and every pair of its blocks is a piece, so no task holds a region and no pair is left out. A region
+   of N classes costs N * N / 2 comparisons and N / CROWD copies of its rows.
+4. First round. Each class is joined with its most alike neighbour of all trees and the pair confirmed on
    the full sets. Connected components follow.
-4. Second round. Classes that have a candidate in another component go once more through the forest, now
+5. Second round. Classes that have a candidate in another component go once more through the forest, now
    with their texts, and every candidate pair across components is confirmed on the full sets where it
    stands; only true links leave the task. So pairs inside a component are never listed.
 
-Groups of any size are streamed in sorted order: a task holds one window, no group. A pair with Jaccard 0.8
-is missed by the signatures with probability under 0.0005, and by ten trees in an uncrowded region with
-probability under 0.0001; in a region of very many alike classes the window sees the longest prefixes only,
-and components join through the other members. README gives measured recall.
+A pair with Jaccard 0.8 is missed by the signatures with probability under 0.0005, and by ten trees with
+probability under 0.0001, in a region of any size. README gives measured recall.
 
 Defined results: null and empty texts have no shingles, are linked with nothing and are their own component;
 a text with fewer words than WIDTH is one shingle of all its words; equal rows share a component; a null
@@ -32,8 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, lean, prepare
@@ -41,9 +39,8 @@ from tidemark.llm.graph import connected_components
 from tidemark.llm.textvec import LOWER, NOT_BLANK, U, blocks, mix, odd_numbers, shingles, unique_by_text, whole
 
 WIDTH, PERCENT = 4, 80
-VALUES, TREES, DEPTH, WINDOW = 128, 10, 2, 256
+VALUES, TREES, DEPTH, CROWD = 128, 10, 2, 1024
 AGREE = 0.68
-KEY_VALUES = 24
 ROWS_PER_PARTITION = 40_000
 BROADCAST_IDS = 1_000_000
 
@@ -105,61 +102,74 @@ def tree_place(tree: int) -> int:
 
 
 def crowded(classes: DataFrame) -> DataFrame:
-    """(tree, key, cid, sig) of the classes that share DEPTH leading values with another in the tree."""
+    """(tree, head, m, cid, sig) of the classes that share the DEPTH values of a tree with another; m classes do."""
     size = 2 * DEPTH
     heads = F.array(*[F.substring("sig", 2 * tree_place(t) + 1, size) for t in range(TREES)])
     short = classes.select("cid", F.posexplode(heads).alias("tree", "head"))
-    shared = short.groupBy("tree", "head").agg(F.count("*").alias("m")).filter("m > 1").select("tree", "head")
-    kept = short.join(shared, ["tree", "head"]).select("cid", F.col("tree").cast("int").alias("tree"))
-    rows = kept.join(classes.select("cid", "sig"), "cid")
-    turn = F.lit(None).cast("binary")
-    for t in range(TREES):
-        at = 2 * tree_place(t)
-        turn = F.when(F.col("tree") == t, F.concat(F.substring("sig", at + 1, 2 * VALUES - at), F.substring("sig", 1, at))).otherwise(turn)
-    return rows.select("tree", turn.alias("sig"), "cid").withColumn("key", F.substring("sig", 1, 2 * KEY_VALUES))
-
-
-class Stream:
-    """Rows in sorted order; each is compared with up to WINDOW rows before it in its region."""
-
-    def __init__(self):
-        self.cid, self.comp = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.tree, self.sig = np.zeros(0, np.int32), np.zeros((0, VALUES), np.uint16)
-        self.sets: list[np.ndarray] = []
-
-    def add(self, batch: pa.RecordBatch, sets: list[np.ndarray] | None = None) -> int:
-        """Append a batch behind the last WINDOW rows; returns where the new rows begin."""
-        keep = max(0, len(self.cid) - WINDOW)
-        self.sets = self.sets[keep:] + (sets or [])
-        old = len(self.cid) - keep
+    shared = short.groupBy("tree", "head").agg(F.count("*").alias("m")).filter("m > 1")
+    kept = short.join(shared, ["tree", "head"]).select("cid", F.col("tree").cast("int").alias("tree"), "head", "m")
+    return kept.join(classes.select("cid", "sig"), "cid").select("tree", "head", "m", "cid", "sig")
+
+
+class Pieces:
+    """Rows of whole pieces, in order of the pieces; all rows of a piece are compared with each other."""
+
+    def __init__(self, table: pa.Table):
+        batch = table.combine_chunks().to_batches()[0]
+        self.cid, self.comp, self.tree, self.m, self.piece, self.block, self.crossed = (
+            batch.column(n).to_numpy(zero_copy_only=False) for n in ("cid", "comp", "tree", "m", "piece", "block", "crossed")
+        )
         column = batch.column("sig").cast(pa.large_binary())
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-        self.sig = np.concatenate([self.sig[keep:], raw.view(">u2").reshape(-1, VALUES).astype(np.uint16)])
-        for name in ("cid", "comp", "tree"):
-            setattr(self, name, np.concatenate([getattr(self, name)[keep:], batch.column(name).to_numpy(zero_copy_only=False)]))
-        return old
-
-    def compare(self, old: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(rows, earlier rows, agreement) of new rows and those before them, one distance at a time."""
-        n = len(self.cid)
-        region = np.concatenate([[0], np.cumsum((self.tree[1:] != self.tree[:-1]) | (self.sig[1:, :DEPTH] != self.sig[:-1, :DEPTH]).any(axis=1))]) if n else np.zeros(0, int)
-        rows = np.arange(old, n)
-        for lag in range(1, WINDOW + 1):
+        self.sig = raw.view(">u2").reshape(-1, VALUES).astype(np.uint16)
+        places = [tree_place(t) for t in range(TREES)]
+        self.heads = np.zeros((len(self.cid), TREES), np.uint64)
+        for d in range(DEPTH):
+            self.heads = self.heads * U(1 << 16) + self.sig[:, [p + d for p in places]]
+        self.text = table.column("text") if "text" in table.column_names else None
+
+    def compare(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, earlier rows, agreement) of the pairs that meet in this tree first, one distance at a time."""
+        rows, lag = np.arange(len(self.cid)), 0
+        while True:
+            lag += 1
             rows = rows[rows >= lag]
-            rows = rows[region[rows] == region[rows - lag]]
+            rows = rows[self.piece[rows] == self.piece[rows - lag]]
             if not len(rows):
                 return
-            yield rows, rows - lag, (self.sig[rows] == self.sig[rows - lag]).mean(axis=1)
+            # two blocks of one region: pairs inside a block have a piece of their own
+            own = rows[~self.crossed[rows] | (self.block[rows] != self.block[rows - lag])]
+            same = self.heads[own] == self.heads[own - lag]
+            own = own[same.any(axis=1) & (same.argmax(axis=1) == self.tree[own])]
+            if len(own):
+                yield own, own - lag, (self.sig[own] == self.sig[own - lag]).view(np.uint8).sum(axis=1, dtype=np.uint8) / VALUES
 
 
-def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each row the most alike row before it: (cid, other, agree)."""
-    s = Stream()
+def whole_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Pieces]:
+    """The stream in parts that split no piece."""
+    waiting: list[pa.RecordBatch] = []
     for batch in batches:
-        old = s.add(batch)
+        if not batch.num_rows:
+            continue
+        piece = batch.column("piece").to_numpy()
+        if waiting and waiting[-1].column("piece")[-1].as_py() != piece[0]:
+            yield Pieces(pa.Table.from_batches(waiting))
+            waiting = []
+        last = int(np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))[-1])
+        if last:
+            yield Pieces(pa.Table.from_batches([*waiting, batch.slice(0, last)]))
+            waiting = []
+        waiting.append(batch.slice(last))
+    if waiting:
+        yield Pieces(pa.Table.from_batches(waiting))
+
+
+def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row the most alike row before it in its piece: (cid, other, agree)."""
+    for s in whole_pieces(batches):
         best, at = np.full(len(s.cid), -1.0), np.zeros(len(s.cid), np.int64)
-        for rows, before, agree in s.compare(old):
+        for rows, before, agree in s.compare():
             better = agree > best[rows]
             best[rows[better]], at[rows[better]] = agree[better], before[better]
         hit = np.flatnonzero(best >= AGREE)
@@ -167,16 +177,14 @@ def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that have a candidate in another component: (tree, cid), both ends."""
-    s = Stream()
-    for batch in batches:
-        old = s.add(batch)
-        hit = [np.zeros(0, np.int64)]
-        for rows, before, agree in s.compare(old):
+    """Rows that have a candidate in another component: (tree, cid, m), both ends."""
+    for s in whole_pieces(batches):
+        hit = np.zeros(len(s.cid), bool)
+        for rows, before, agree in s.compare():
             ok = (agree >= AGREE) & (s.comp[rows] != s.comp[before])
-            hit += [rows[ok], before[ok]]
-        at = np.unique(np.concatenate(hit))
-        yield pa.RecordBatch.from_arrays([pa.array(s.tree[at], pa.int32()), pa.array(s.cid[at])], ["tree", "cid"])
+            hit[rows[ok]] = hit[before[ok]] = True
+        at = np.flatnonzero(hit)
+        yield pa.RecordBatch.from_arrays([pa.array(s.tree[at], pa.int32()), pa.array(s.cid[at]), pa.array(s.m[at])], ["tree", "cid", "m"])
 
 
 def sets_of(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -199,69 +207,42 @@ def linked(a: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def confirm(width: int, percent: int) -> Callable:
-    """Links (u, v) between components among the rows of a sorted stream with texts."""
+    """Links (u, v) between components among the rows of a stream of pieces with texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Stream()
-        for batch in batches:
-            old = s.add(batch, sets_of(batch.column("text"), width))
-            found: dict[int, list[int]] = {}
-            for rows, before, agree in s.compare(old):
+        for s in whole_pieces(batches):
+            sets = [x for chunk in s.text.chunks for x in sets_of(chunk, width)]
+            sizes = np.array([len(x) for x in sets])
+            # one link for each row and component met is enough
+            links: dict[tuple[int, int], tuple[int, int]] = {}
+            for rows, before, agree in s.compare():
                 ok = (agree >= AGREE) & (s.comp[rows] != s.comp[before])
+                ok &= 100 * np.minimum(sizes[rows], sizes[before]) >= percent * np.maximum(sizes[rows], sizes[before])
                 for r, b in zip(rows[ok].tolist(), before[ok].tolist()):
-                    found.setdefault(r, []).append(b)
-            links: list[tuple[int, int]] = []
-            for r, others in found.items():
-                ok = linked(s.sets[r], [s.sets[b] for b in others], percent)
-                # one link for each component met is enough
-                links += {int(s.comp[b]): (int(s.cid[r]), int(s.cid[b])) for b, yes in zip(others, ok) if yes}.values()
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["u", "v"])
+                    name = r, int(s.comp[b])
+                    if name not in links and linked(sets[r], [sets[b]], percent)[0]:
+                        links[name] = int(s.cid[r]), int(s.cid[b])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links.values()], pa.int64()), pa.array([x[1] for x in links.values()], pa.int64())], ["u", "v"])
 
     return run
 
 
+def blocks_of(m: Column) -> Column:
+    """Blocks of a region of m classes."""
+    return F.ceil(m / F.lit(CROWD)).cast("int")
+
+
 def in_order(rows: DataFrame, process: Callable, schema: str, count: int) -> DataFrame:
-    """Apply process to rows sorted by tree and signature, and again to the rows on both sides of each cut."""
-    parts = max(1, math.ceil(count / ROWS_PER_PARTITION))
-    names = rows.columns
-    ranged = cut(rows.repartitionByRange(parts, "tree", "key").sortWithinPartitions("tree", "sig"))
+    """Apply process to the pieces of rows (tree, head, m, cid and more); count: rows of all pieces.
 
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        tail = None
-        for batch in batches:
-            if tail is None:
-                head = batch.slice(0, WINDOW)
-                if part:
-                    yield pa.RecordBatch.from_arrays([*head.columns, pa.array([part - 1] * len(head), pa.int32())], [*names, "side"])
-                tail = pa.Table.from_batches([batch])
-            else:
-                tail = pa.concat_tables([tail.slice(max(0, len(tail) - WINDOW)), pa.Table.from_batches([batch])])
-        if tail is not None:
-            for last in tail.slice(max(0, len(tail) - WINDOW)).combine_chunks().to_batches():
-                yield pa.RecordBatch.from_arrays([*last.columns, pa.array([part] * len(last), pa.int32())], [*names, "side"])
-
-    out = ranged.mapInArrow(lean(process), schema)
-    if ranged.rdd.getNumPartitions() > 1:
-        kinds = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
-        sides = ranged.mapInArrow(lean(ends), f"{kinds}, side int").repartition(parts, "side").sortWithinPartitions("side", "tree", "sig")
-
-        def by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            waiting, at = [], None
-            for batch in batches:
-                side = batch.column("side").to_numpy()
-                heads = np.flatnonzero(np.concatenate([[True], side[1:] != side[:-1]])) if len(side) else []
-                for a, b in zip(heads, [*heads[1:], len(side)]):
-                    if side[a] != at and waiting:
-                        yield from process(iter(waiting))
-                        waiting = []
-                    at = side[a]
-                    waiting.append(batch.slice(int(a), int(b - a)).select(names))
-            if waiting:
-                yield from process(iter(waiting))
-
-        out = out.unionByName(sides.mapInArrow(lean(by_side), schema))
-    return out
+    A class stands in one piece for each block of its region: with its own block, and with each other one.
+    """
+    n = blocks_of(F.col("m"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("cid"), n).cast("int")).withColumn("_with", F.explode(F.sequence(F.lit(0), n - 1)))
+    piece = F.xxhash64("tree", "head", F.least("block", "_with"), F.greatest("block", "_with"))
+    dealt = dealt.withColumn("piece", piece).withColumn("crossed", F.col("block") != F.col("_with")).drop("head", "_with")
+    parts = max(1, math.ceil(count / ROWS_PER_PARTITION))
+    return dealt.repartition(parts, "piece").sortWithinPartitions("piece", "cid").mapInArrow(lean(process), schema)
 
 
 def with_texts(docs: DataFrame, need: DataFrame, classes: DataFrame) -> DataFrame:
@@ -310,21 +291,21 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple
     low = F.min(F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "text_key")).alias("low")
     classes = cut(base.filter("n > 0").groupBy("cid").agg(low, F.first("sig").alias("sig")))
     rows = cut(crowded(classes))
-    count = rows.count()
+    count = rows.agg(F.sum(blocks_of(F.col("m")))).first()[0]
     links = None
     if count:
-        plain = rows.withColumn("comp", F.col("cid")).select("tree", "key", "sig", "cid", "comp")
+        plain = rows.withColumn("comp", F.col("cid"))
         near = in_order(plain, nearest, "cid long, other long, agree double", count)
         # the most alike of all trees, of each class
         first = near.groupBy("cid").agg(F.max(F.struct("agree", "other")).alias("best")).select("cid", F.col("best.other").alias("other"))
         links = cut(confirm_pairs(docs, first, classes, width, percent))
         parts = cut(connected_components(links))
-        labelled = rows.join(parts.select(F.col("node").alias("cid"), "component"), "cid", "left").select("tree", "key", "sig", "cid", F.coalesce("component", "cid").alias("comp"))
-        flagged = cut(in_order(labelled, across, "tree int, cid long", count).distinct())
-        left = flagged.count()
+        labelled = rows.join(parts.select(F.col("node").alias("cid"), "component"), "cid", "left").select("tree", "head", "m", "cid", "sig", F.coalesce("component", "cid").alias("comp"))
+        flagged = cut(in_order(labelled, across, "tree int, cid long, m long", count).distinct())
+        left = flagged.agg(F.sum(blocks_of(F.col("m")))).first()[0]
         if left:
             texts = with_texts(docs, flagged, classes)
-            again = labelled.join(flagged, ["tree", "cid"]).join(texts, "cid").select("tree", "key", "sig", "cid", "comp", "text")
+            again = labelled.join(flagged.select("tree", "cid"), ["tree", "cid"]).join(texts, "cid").select("tree", "head", "m", "cid", "sig", "comp", "text")
             more = in_order(again, confirm(width, percent), "u long, v long", left)
             links = cut(links.union(more))
     found = classes.select("cid", F.col("cid").alias("group"))
