@@ -66,3 +66,25 @@ def test_odd_rows(docs, bench, odd):
     left = drop_leaks(docs(odd), bench(items))
     assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted((r["doc_id"] for r in left.collect()), key=str) == [1, 2, 3, 7, None]
+
+
+def test_long_items_with_deletions(docs, bench):
+    """Items of 100 to 500 words, floor(0.2 m) of them lost or put in between, are all found."""
+    rng = random.Random(5)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(100 + 50 * k))) for k in range(9)]
+    rows, want = [], {}
+    for k, t in items:
+        own = t.split()
+        m, edits = len(own), len(own) // 5
+        lost = set(rng.sample(range(m), edits))
+        rows.append((2 * k, " ".join(w for j, w in enumerate(own) if j not in lost)))
+        more = list(own)
+        for _ in range(edits):
+            more.insert(rng.randrange(len(more) + 1), "between")
+        rows.append((2 * k + 1, " ".join(more)))
+        for d, text in rows[-2:]:
+            e = edit(own, text.split())
+            if e <= edits:
+                want[d, k] = e
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in find_leaks(docs(rows), bench(items)).collect()}
+    assert got == want

@@ -5,13 +5,9 @@ edits of the item (similarity 0.8 or more). Words are runs of letters, digits an
 
 1. Seeds. An item allowed k edits is cut into k + 1 pieces; one of them must stand unchanged in any match, so
    looking up every run of words in a table of the pieces' first words loses nothing.
-2. Windows. Each seed fixes the item-sized window it would belong to. Window and item go through the CGK
-   random walk: at every step the walk writes the current word and moves on if a random bit of (walk, step,
-   word) says so, which turns edit distance into Hamming distance. Sampled pairs of positions of the written
-   words are the locality-sensitive hashes; a window is a candidate if one of them agrees. ``sampling`` sets
-   how many are needed for the target recall, computed from the distance that k edits lead to.
-3. Verification. A semi-global alignment of the item against the window and k words to both sides gives the
-   exact smallest distance and where the match stands.
+2. Windows. Each seed fixes the item-sized window it would belong to.
+3. Verification. A semi-global alignment of the item against every seeded window and k words to both sides gives
+   the exact smallest distance and where the match stands. Nothing is sampled, so no match is lost.
 
 Every document is read once, whole, in a map without a shuffle. Items are a table on the driver's side of
 this method: they are taken in blocks of ``ITEM_BLOCK``, each block one pass, so what is broadcast is bounded
@@ -26,7 +22,6 @@ are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,23 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import lean, prepare
-from tidemark.llm.textvec import ALNUM, LOWER, U, blocks, mix, odd_numbers, shingles
+from tidemark.llm.textvec import ALNUM, LOWER, U, blocks, shingles
 
 EDIT_SHARE, MIN_WORDS = 0.2, 5
-WALKS, PICKED = 6, 2
-TARGET_RECALL = 0.999
-AGREEMENT = 0.3
 ITEM_BLOCK = 20_000
 #: Words of windows that are compared at once.
 CELLS = 400_000
 OUT = "doc_id long, item_id long, distance int, item_words int, start_word long, end_word long"
 
 
-def sampling(recall: float = TARGET_RECALL, agreement: float = AGREEMENT, picked: int = PICKED, walks: int = WALKS) -> int:
-    """Samples per walk so that a pair that agrees on a share of the steps is missed with 1 - recall at most."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - agreement**picked) / walks)
-
-
 class Items:
     """A block of benchmark items: word hashes, allowed edits, and the table of their pieces."""
 
@@ -82,13 +69,6 @@ class Items:
             low[hashes & U((1 << 22) - 1)] = True
             self.pieces[width] = hashes, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), low
 
-    def padded(self, item: np.ndarray, width: int) -> np.ndarray:
-        """Words of the given items, one row each."""
-        out = np.zeros((len(item), width), U)
-        for k in np.unique(item):
-            out[item == k, : self.size[k]] = self.words[k]
-        return out
-
     def seeds(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, implied window start), distinct, of all pieces found in the words."""
         items, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -112,43 +92,6 @@ class Items:
         return item[keep], start[keep]
 
 
-def walk(words: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
-    """CGK embedding of rows of words (padded; sizes say where each ends) to three times the width."""
-    n, width = words.shape
-    out = np.zeros((n, 3 * width), U)
-    at = np.zeros(n, np.int64)
-    salt = odd_numbers(3 * width, 7000 + seed)
-    rows = np.arange(n)
-    for t in range(3 * width):
-        inside = at < sizes
-        symbol = np.where(inside, words[rows, np.minimum(at, width - 1)], U(0))
-        out[:, t] = symbol
-        at += inside & ((mix(symbol ^ salt[t]) & U(1)) == 1)
-    return out
-
-
-def candidates(items: Items, item: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Which windows agree with their item on a sampled group of steps of some walk."""
-    size = items.size[item]
-    out = np.zeros(len(item), bool)
-    per_walk = sampling()
-    for r in range(WALKS):
-        left = np.flatnonzero(~out)
-        if not len(left):
-            break
-        a, b = walk(windows[left], size[left], r), walk(items.padded(item[left], windows.shape[1]), size[left], r)
-        same = (a == b) & (a != 0)
-        rng = np.random.RandomState(90 + r)
-        share = rng.random_sample((per_walk, PICKED))
-        for s in range(per_walk):
-            agree = np.ones(len(left), bool)
-            for p in range(PICKED):
-                # sampled among the steps in which an item of this size is still being written, about twice its words
-                agree &= same[np.arange(len(left)), (share[s, p] * 2 * size[left]).astype(np.int64)]
-            out[left] |= agree
-    return out
-
-
 def align(item: np.ndarray, regions: np.ndarray, free_start: bool = True) -> np.ndarray:
     """Last rows of the edit distances of one item with rows of regions; 0 in a region matches no word."""
     n, width = regions.shape
@@ -193,25 +136,9 @@ def match_block(items: Items, block) -> list[tuple[int, int, int, int, int]]:
     if not len(h) or not items.pieces:
         return []
     item, key = items.seeds(h, w.doc)
-    # windows of about one length together, so that a few long items don't widen all rows
-    order = np.argsort(items.size[item], kind="stable")
-    item, key = item[order], key[order]
-    found, lo = [], 0
-    while lo < len(item):
-        hi = lo + max(1, CELLS // int(items.size[item[lo]]))
-        hi = lo + max(1, min(hi - lo, CELLS // int(items.size[item[min(hi, len(item)) - 1]])))
-        part, own = item[lo:hi], key[lo:hi]
-        lo = hi
-        # a start before the first word of all borrows from the text's number
-        doc = (own + (1 << 39)) >> 40
-        start = own - (doc << 40)
-        at = start[:, None] + np.arange(int(items.size[part].max()))
-        inside = (at >= w.first[doc][:, None]) & (at < w.first[doc + 1][:, None])
-        windows = np.where(inside, h[np.clip(at, 0, len(h) - 1)], U(0))
-        # filler words differ from every word of an item, but step as words do
-        windows = np.where(windows == 0, U(1), windows)
-        keep = candidates(items, part, windows)
-        found += verify(items, part[keep], start[keep], doc[keep], h, w.first)
+    # a start before the first word of all borrows from the text's number
+    doc = (key + (1 << 39)) >> 40
+    found = verify(items, item, key - (doc << 40), doc, h, w.first)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for d, k, *v in found:
         best[d, k] = min(tuple(v), best.get((d, k), tuple(v)))
