@@ -83,3 +83,14 @@ def test_odd_rows(docs, labels, odd):
         assert len(out) == len(odd) and all(0 <= r["score"] <= 1 for r in out)
         assert module.classify(docs([]), labels([])).collect() == []
         assert len(module.classify(docs(odd), labels([])).collect()) == len(odd)
+
+
+def test_copies_of_a_toxic_text_hide_no_insult(docs, labels):
+    """One toxic text stands 300 times; its insult is also in 30 other toxic texts."""
+    rng = random.Random(6)
+    rows = [(k, prose(rng, 20) + " vermin") for k in range(30)]
+    rows += [(30 + k, rows[0][1]) for k in range(300)]
+    rows += [(400 + k, prose(rng, 20)) for k in range(300)]
+    out = toxicity.classify(docs(rows), labels([(i, 1, int(i < 400)) for i, _ in rows])).collect()
+    assert [r["doc_id"] for r in out if r["predicted"] != int(r["doc_id"] < 400)] == []
+    assert all("vermin" in r["evidence"] for r in out if r["doc_id"] < 400)

@@ -32,7 +32,7 @@ from tidemark.llm.textvec import ALNUM, LOWER, RunHasher, blocks, mix, run_hashe
 
 SAMPLE, BLOCK, NEIGHBOURS = 16000, 64, 15
 PREFIXES = range(4, 11)
-CHI_SQUARE, MIN_DOCUMENTS, MIN_SHARE, MIN_PLACES, MOST_LISTED = 24.0, 4, 0.4, 0.3, 200_000
+CHI_SQUARE, MIN_SHARE = 24.0, 0.4
 THRESHOLD = 0.5
 MODULUS, HELD_OUT = 5, 0
 
@@ -125,8 +125,9 @@ def all_terms(block):
 def select_terms(few: DataFrame) -> list[bytes]:
     """Terms of the sample (doc_id, y, text) whose presence goes with label 1.
 
-    Terms are listed from texts of label 1 only, those that stand there in enough different surroundings (a word
-    that copies of one text share doesn't), and are then counted over the sample.
+    Equal texts of one label count once, so copies neither make a term nor outweigh one. Terms are listed from
+    texts of label 1 only, those that could pass the test if no other text held them, and are then counted over
+    the sample.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,24 +135,18 @@ def select_terms(few: DataFrame) -> list[bytes]:
             for block in blocks(batch.column(0)):
                 data, start, end, doc, h, cut = all_terms(block)
                 _, at = np.unique(mix(doc.astype(np.uint64) + np.uint64(1)) ^ h, return_index=True)
-                # the words before and after, by which copies of one text are told from uses of a word
-                w = block.words(ALNUM, data)
-                own = np.concatenate([[np.uint64(0)], w.hashes(), [np.uint64(0)]])
-                place = np.searchsorted(w.start, start[at])
-                around = mix(own[place] + np.uint64(3) * own[place + 2])
-                found = [data[start[k] : end[k]].tobytes() + b"*" * bool(cut[k]) for k in at]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(around.view(np.int64))], ["term", "around"])
+                yield pa.RecordBatch.from_arrays([pa.array([data[start[k] : end[k]].tobytes() + b"*" * bool(cut[k]) for k in at], pa.binary())], ["term"])
 
+    few = few.select("text", "y").dropDuplicates()
     n, positive = few.agg(F.count("*"), F.sum("y")).first()
     positive = positive or 0
     negative = n - positive
     if not positive or not negative:
         return []
-    uses = few.filter("y = 1").select("text").mapInArrow(lean(spread), "term binary, around long").groupBy("term", "around").agg(F.count("*").alias("m"))
-    often = uses.groupBy("term").agg(F.sum("m").alias("a"), F.count("*").alias("places"))
-    often = often.filter((F.col("places") >= MIN_DOCUMENTS) & (F.col("places") >= F.col("a") * MIN_PLACES))
-    # terms of a bounded sample, at most MOST_LISTED
-    listed = {bytes(r["term"]): r["a"] for r in often.orderBy(F.desc("a"), "term").limit(MOST_LISTED).collect()}
+    often = few.filter("y = 1").select("text").mapInArrow(lean(spread), "term binary").groupBy("term").agg(F.count("*").alias("a"))
+    # the largest chi-square that a texts of label 1 can give, when no text of label 0 holds the term
+    often = often.filter(F.lit(float(n) * negative) * F.col("a") >= F.lit(CHI_SQUARE * positive) * (F.lit(n) - F.col("a")))
+    listed = {bytes(r["term"]): r["a"] for r in often.collect()}
     terms = sorted(listed)
     total = frequencies(few, terms)[1]
     counts = {}
