@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, shared_folder, table
@@ -43,8 +43,22 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents with their text, the words taken and how often the text is repeated; what it takes nothing of goes."""
-    shares = cut(mix(docs).filter("taken > 0").select(F.col("doc_id").alias("_id"), "size", "taken", "repeats"))
-    return docs.join(shares.dropDuplicates(["_id"]), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "lang", "source", "size", "taken", "repeats")
+    key = ["doc_id", "source", "_key"]
+    keyed = docs.withColumn("_key", F.xxhash64("text", "lang"))
+    shares = mix(keyed, also=["_key"]).groupBy(*key, "size", "taken", "repeats").agg(F.count("*").alias("_n"))
+    rows = F.sum("_n").over(Window.partitionBy(*key))
+    shares = cut(shares.withColumn("_rows", rows).filter("taken > 0").withColumnsRenamed({c: f"_of_{c}" for c in key}))
+    same = F.lit(True)
+    for c in key:
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    out = ["doc_id", "text", "lang", "source", "size", "taken", "repeats"]
+    single = keyed.join(shares.filter("_rows = 1"), same).select(*out)
+    # equal rows: one of them, as often as each share is given
+    several = shares.filter("_rows > 1")
+    if several.isEmpty():
+        return single
+    one = keyed.join(several.select(*[f"_of_{c}" for c in key]).distinct(), same).dropDuplicates(key).select(*key, "text", "lang")
+    return single.unionByName(one.join(several, same).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*out))
 
 
 STAGES = [

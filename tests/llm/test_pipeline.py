@@ -16,3 +16,14 @@ def test_stages_follow_each_other(spark):
     assert counts[1] < counts[0] and counts[2] < counts[1] and counts[3] <= counts[2] and counts[4] <= counts[3] and 0 < counts[5] <= counts[4]
     whole = corpus_pipeline.run(spark, SF)
     assert sorted(map(str, whole.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_mixing_gives_each_row_its_own_share(docs, spark):
+    """Different texts under one id and under none, and equal rows."""
+    data = [(k % 3 or None, f"t{k} " * (5 + k), f"s{k % 2}") for k in range(24)] + [(50, "same row of a text", "s0")] * 3
+    frame = docs(data)
+    got = corpus_pipeline.mixing(spark, frame, SF).collect()
+    want = corpus_pipeline.mix(frame).filter("taken > 0").collect()
+    name = lambda r: (str(r["doc_id"]), r["source"], r["size"], r["taken"])
+    assert sorted(map(name, got)) == sorted(map(name, want))
+    assert all(len(r["text"].split()) == r["size"] for r in got)

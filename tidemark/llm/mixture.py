@@ -91,9 +91,9 @@ def boundary(sums: DataFrame, by: list[str], bucket: str, need: Column) -> DataF
     return hit.groupBy(*by).agg(F.min(F.struct(F.col(bucket), (F.col("_run") - F.col("_sum")).alias("_prior"))).alias("_hit"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
-    """Each document's part of the mix: doc_id, source, size, source_size, target, taken, repeats."""
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, max_epochs: float = 2.0, seed: int = 17, also: Sequence[str] = ()) -> DataFrame:
+    """Each document's part of the mix: doc_id, source, size, source_size, target, taken, repeats, and the columns in also, by which ties go last."""
+    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *also)
     base = cut(base.withColumn("_r1", seeded(seed, 3)).withColumn("_r2", seeded(seed, 3, 4)).withColumn("_r3", seeded(seed, 8, 7)))
     sums = cut(base.groupBy("source", "_r1").agg(F.sum("size").alias("_sum")))
     sources = sums.groupBy("source").agg(F.sum("_sum").alias("source_size"))
@@ -117,13 +117,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1
     at = F.when(F.col("_need") <= 0, F.lit(1)).when(F.col("_r1") != F.col("_b1"), F.sign(F.col("_r1") - F.col("_b1"))).otherwise(F.sign(F.col("_r2") - F.col("_b2"))).cast("int")
     all_ = all_.withColumn("_at", at)
     clear = all_.filter(F.col("_at") != 0).withColumn("_part", F.when(F.col("_at") < 0, F.col("size")).otherwise(F.lit(0)))
-    w = Window.partitionBy("source").orderBy("_r3", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("source").orderBy("_r3", "doc_id", "size", *also).rowsBetween(Window.unboundedPreceding, 0)
     last = all_.filter(F.col("_at") == 0).withColumn("_left", F.col("_need") - F.col("_p2") - F.sum("size").over(w) + F.col("size"))
     last = last.withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left")))).drop("_left")
     both = clear.unionByName(last)
     taken = (F.col("_whole") * F.col("size") + F.col("_part")).cast("long")
     repeats = F.when(F.col("size") > 0, taken / F.col("size")).otherwise(F.lit(0.0))
-    return both.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", taken.alias("taken"), repeats.alias("repeats"))
+    return both.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", taken.alias("taken"), repeats.alias("repeats"), *also)
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
