@@ -24,17 +24,18 @@ def brute(rows, length):
 
 
 def got(frame, **how):
-    return sorted(((r["doc_id"], r["_n_bytes"], r["_n_removed"], r["_n_spans"], r["_sha256"]) for r in remove(frame, **how).collect()), key=str)
+    out, made = remove(frame, **how)
+    return sorted(((r["doc_id"], *(r[m] for m in made)) for r in out.collect()), key=str)
 
 
 def noise(rng, n):
     return "".join(rng.choice("abcdefghij éü") for _ in range(n))
 
 
-@pytest.mark.parametrize("group", [2000, 2])
-def test_against_brute_force(docs, monkeypatch, group):
-    monkeypatch.setattr(suffix_dedup, "GROUP", group)
-    rng = random.Random(group)
+@pytest.mark.parametrize("widths", [(16, 4, 1), (64, 8, 1), (1,)])
+def test_against_brute_force(docs, monkeypatch, widths):
+    monkeypatch.setattr(suffix_dedup, "WIDTHS", widths)
+    rng = random.Random(len(widths))
     shared = [noise(rng, n) for n in (150, 199, 200, 230, 700)]
     rows = []
     for k in range(60):
@@ -77,3 +78,36 @@ def test_stage_keeps_columns_and_clean_documents(docs):
     out = strip_repeats(docs([(1, "one " + passage), (2, "two " + passage), (3, "clean"), (4, passage), (5, None)]))
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: "one", 2: "two", 3: "clean", 5: None}  # the blank before the passage repeats too
+
+
+def test_one_passage_in_many_surroundings(docs):
+    """A sample that stands in hundreds of places, cut off at many lengths to both sides."""
+    rng = random.Random(6)
+    passage = noise(rng, 420)
+    rows = [(k, noise(rng, rng.randrange(0, 90)) + passage[rng.randrange(0, 200) : rng.randrange(230, 420)] + noise(rng, rng.randrange(0, 90))) for k in range(300)]
+    assert got(docs(rows)) == brute(rows, 200)
+
+
+def test_one_row_many_times(docs, spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    text = noise(rng, 260)
+    many = docs([(1, text)]).crossJoin(spark.range(100_000).select(F.lit(0).alias("zero"))).drop("zero")
+    out, made = remove(many)
+    rows = out.groupBy("doc_id", *made[:3]).count().collect()
+    size = len(text.encode())
+    assert [tuple(r) for r in rows] == [(1, size, size, 1, 100_000)]
+
+
+def test_clashing_names(docs):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    passage = noise(rng, 300)
+    frame = docs([(1, "one " + passage), (2, "two " + passage)])
+    for n in ("key", "spans", "_key", "_spans", "_n_removed", "_N_Bytes", "_sha256", "c0", "c1", "start", "at", "core"):
+        frame = frame.withColumn(n, F.lit(n))
+    out = strip_repeats(frame)
+    assert out.columns == frame.columns
+    assert all(r[n] == n for r in out.collect() for n in ("key", "_key", "_n_removed", "c1"))

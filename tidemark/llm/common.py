@@ -55,8 +55,24 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def hidden(docs: DataFrame) -> DataFrame:
+    """docs with its columns named c0, c1, ..., so that no name of a caller clashes with one made inside."""
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+
+
+def fresh_names(have: list[str], wanted: list[str]) -> list[str]:
+    """wanted, each with as many leading underscores as set it apart from the names in have, in any case of letters."""
+    taken, out = {n.lower() for n in have}, []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-__all__ = ["ascii_lower", "cut", "lean", "prepare", "release", "shared_folder", "table"]
+__all__ = ["ascii_lower", "cut", "fresh_names", "hidden", "lean", "prepare", "release", "shared_folder", "table"]

@@ -1,30 +1,30 @@
 """Removal of repeated byte strings by distributed prefix doubling over sampled positions.
 
-A byte goes if it is covered by a string of ``LENGTH`` bytes that also starts somewhere else. Ranks of
-positions double in length, 1, 2, 4, ... up to LENGTH, and positions whose rank is unique at some length
-leave, as they can't be equal at a greater one. A rank is a 64-bit name: equal strings get equal names, and
-the name of 2h bytes comes from the pair of names at i and i + h (as Karp, Miller and Rosenberg name
-substrings), so ranks compare across the corpus without an order of all its positions.
-
-Up to ``SEED`` bytes ranks are made within each text. From there Spark sorts and reranks, three times:
-
-1. SEED bytes, at sampled positions only. Of every LENGTH-byte string the leftmost position with the smallest
-   SEED-byte rank stands for it: equal strings pick the same place, so a string can only repeat if its
-   sample's rank does. The consecutive strings that share a sample are a cell, about one in 60 bytes. Cells
-   whose rank is unique leave.
+A byte goes if it is covered by a string of ``LENGTH`` bytes that also starts somewhere else. Equal strings get
+equal ranks; the rank of a longer string comes from the pair of ranks at its place and at an offset from it.
+Ranks are 64-bit names (as Karp, Miller and Rosenberg name substrings), so they compare across the corpus
+without an order of all its positions, and what Spark sorts and groups is always a pair of them.
+
+1. Within each text ranks double from 1 byte on. Of every LENGTH-byte string the leftmost position with the
+   smallest rank of ``SEED`` bytes stands for it: equal strings pick the same place, so a string can only repeat
+   if its sample's rank does. The consecutive strings that share a sample are a cell, about one in 60 bytes.
+   Spark ranks the samples; cells whose sample is unique leave.
 2. Cells: the pair (rank of the sample, rank of all the cell's bytes). If it repeats, all strings of the cell
-   repeat, and nothing more has to be known of them.
-3. LENGTH bytes, string by string, for cells whose sample also stands in other surroundings, against one cell
-   of each different content. Cells of a sample are dealt in groups of about ``GROUP``; what a large sample's
-   groups leave open is decided by one more aggregate over single strings.
+   repeat, and nothing more has to be known of them. One cell stands for each different content from here on.
+3. Cells whose sample also stands in other surroundings are looked at in blocks of 16 strings, then 4, then 1,
+   at the same offsets from the sample in all texts. Of each block two pairs are ranked: that of its core, the
+   bytes which all its strings have in common (185, 197, then 200), and that of all its bytes. A block with a
+   unique core has no string that repeats and leaves. A block that repeats as a whole is done. Only the others
+   are cut into smaller blocks. Every step is one count of pairs, combined before the shuffle, whatever the
+   number of places that share a sample, so no sample's cells ever have to meet.
 
-So a passage in a third of all texts is combined before it is shuffled, and no sample's cells have to meet in
-one task. What is wrong with probability about 2**-64 for a pair is that two different strings with the same
-sample get one name.
+Two different strings with the same sample are taken for equal with probability about 2**-128 (the pair), two
+different texts for equal with about 2**-64.
 
 Defined results: null and empty texts, and texts under LENGTH bytes, lose nothing; overlaps within one text
-count as repeats; equal rows repeat each other; a null doc_id is an id like others; an empty table gives an
-empty result; other columns are ignored. Strings never run across texts.
+count as repeats; equal texts repeat each other and have the same result, which is kept once; a null doc_id is
+an id like others; an empty table gives an empty result; other columns are ignored, whatever their names.
+Strings never run across texts. A very long text is read in parts of ``PIECE`` bytes that overlap by a string.
 """
 
 from __future__ import annotations
@@ -36,13 +36,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, lean, prepare, release
+from tidemark.llm.common import cut, fresh_names, hidden, lean, prepare, release
 from tidemark.llm.textvec import Block, U, blocks, column_bytes, mix, odd_numbers
 
 LENGTH, SEED = 200, 64
 BLOCK, PIECE = 1 << 17, 1 << 20
-GROUP = 2000
+#: Strings of a block, step by step; a third of LENGTH at most, so that two ranks cover a block and lie in its core.
+WIDTHS = (16, 4, 1)
 #: A cell has fewer strings than LENGTH.
 STRING_BITS = 12
 _FIRST = odd_numbers(256, 77)
@@ -118,9 +120,9 @@ def cells_of(data: np.ndarray, off: np.ndarray, length: int, seed: int, contents
     return owner[head], first, count, rank, content
 
 
-def row_key() -> Column:
-    """Name of a row; rows with equal names are equal in id and text, so they have equal results."""
-    return F.xxhash64("doc_id", "text").alias("key")
+def text_key() -> Column:
+    """Name of a text; equal texts have equal results."""
+    return F.xxhash64("text").alias("key")
 
 
 def seed_ranks(docs: DataFrame, length: int, seed: int) -> DataFrame:
@@ -150,12 +152,15 @@ def cells(docs: DataFrame, length: int, seed: int) -> DataFrame:
                 rank, content, keys, start, count = (np.concatenate(x) for x in zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(content), pa.array(keys), pa.array(start, pa.int32()), pa.array(count, pa.int16())], ["seed_rank", "content", "key", "start", "strings"])
 
-    return docs.select(row_key(), "text").mapInArrow(lean(run), "seed_rank long, content long, key long, start int, strings short")
+    return docs.select(text_key(), "text").mapInArrow(lean(run), "seed_rank long, content long, key long, start int, strings short")
 
 
-def string_ranks(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Each cell of wanted (key, cells: array of (start, strings, seed_rank, open, salt)) with its LENGTH-byte ranks."""
-    texts = docs.select(row_key(), "text").join(wanted, "key")
+def bodies(docs: DataFrame, wanted: DataFrame, length: int, seed: int) -> DataFrame:
+    """Each cell of wanted (key, cells: array of (start, strings)) with its bytes: key, at, lead, body.
+
+    lead: the sample's place, from the cell's first string on.
+    """
+    texts = docs.select(text_key(), "text").dropDuplicates(["key"]).join(wanted, "key").select("key", "text", "cells")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,84 +169,81 @@ def string_ranks(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
             inner = lists.flatten()
             start, count = inner.field(0).to_numpy().astype(np.int64), inner.field(1).to_numpy().astype(np.int64)
-            # the cells' bytes one after another; ranks that run across two of them are left out
             size = count + length - 1
             step = np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()), PIECE))
             for lo, hi in zip(step, [*step[1:], len(row)]):
                 if lo == hi:
                     continue
                 ends = np.cumsum(size[lo:hi])
-                at = np.arange(ends[-1]) + np.repeat(off[row[lo:hi]] + start[lo:hi] - ends + size[lo:hi], size[lo:hi])
-                names = ranks(_FIRST[data[at]], 1, length)
-                parts = [names[e - z : e - z + n].tobytes() for e, z, n in zip(ends, size[lo:hi], count[lo:hi])]
-                cell = inner.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [cell.field(2), cell.field(4), batch.column(0).take(pa.array(row[lo:hi])), cell.field(0), cell.field(3), pa.array(parts, pa.binary())],
-                    ["seed_rank", "salt", "key", "start", "open", "ranks"],
-                )
+                first = ends - size[lo:hi]
+                flat = data[np.arange(ends[-1]) + np.repeat(off[row[lo:hi]] + start[lo:hi] - first, size[lo:hi])]
+                lead = smallest(ranks(_FIRST[flat], 1, seed), length - seed + 1)[first] - first
+                body = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[lo:hi])), pa.array(start[lo:hi], pa.int32()), pa.array(lead, pa.int32()), body], ["key", "at", "lead", "body"])
 
-    return texts.mapInArrow(lean(run), "seed_rank long, salt int, key long, start int, open boolean, ranks binary")
+    return texts.mapInArrow(lean(run), "key long, at int, lead int, body binary")
 
 
-def runs(start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, length) of maximal runs of consecutive numbers."""
-    head = np.flatnonzero(np.concatenate([[True], np.diff(start) != 1])) if len(start) else np.zeros(0, np.int64)
-    return start[head], np.diff(np.append(head, len(start)))
+PAIR = ["core", "core_next", "all", "all_next"]
 
 
-def decide_group(rows: list[tuple], whole: bool):
-    """Repeated strings of one group of cells: ((key, start, strings) ..., (rank, key, start, open) left open ...).
+def rank_pairs(cells: DataFrame, todo: DataFrame, width: int, length: int) -> DataFrame:
+    """Rank pairs of all blocks of width strings in todo (key, at, first, strings, open), at one offset from their samples.
 
-    rows: (key, start, open, ranks). Cells that aren't open repeat as a whole already and are here for others.
+    (core, core_next): of the bytes that all strings of a whole block share; (all, all_next): of the block's own bytes.
     """
-    names = [np.frombuffer(r[3], U) for r in rows]
-    sizes = np.array([len(x) for x in names])
-    cell = np.repeat(np.arange(len(rows)), sizes)
-    place = np.concatenate([np.arange(r[1], r[1] + n) for r, n in zip(rows, sizes)])
-    rank = np.concatenate(names)
-    _, inverse, n = np.unique(rank, return_inverse=True, return_counts=True)
-    is_open = np.array([r[2] for r in rows])
-    again = (n[inverse] > 1) & is_open[cell]
-    first_of = np.cumsum(sizes) - sizes
-    found = []
-    for c in np.unique(cell[again]):
-        own = slice(first_of[c], first_of[c] + sizes[c])
-        found += [(rows[c][0], int(a), int(m)) for a, m in zip(*runs(place[own][again[own]]))]
-    if whole:
-        return found, []
-    # of each rank one place goes on, open only if nothing here repeats it
-    _, first = np.unique(rank, return_index=True)
-    return found, [(int(rank[k].view(np.int64)), rows[cell[k]][0], int(place[k]), bool(is_open[cell[k]] and n[inverse[k]] == 1)) for k in first]
-
-
-SPANS = "seed_rank long, rank long, key long, start int, strings int, open boolean"
-
-
-def decide(rows: DataFrame) -> DataFrame:
-    """Repeated strings by (seed_rank, salt) groups; for salted samples also the strings left to compare (rank set)."""
+    half = (length + WIDTHS[0]) // 2 if 3 * WIDTHS[0] <= length + 3 else (length + width) // 2
+    jobs = todo.groupBy("key", "at").agg(F.collect_list(F.struct("first", "strings", "open")).alias("blocks"))
+    rows = cells.join(jobs, ["key", "at"]).select("key", "at", "lead", "body", "blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, waiting = None, []
-
-        def close():
-            if not waiting:
-                return
-            found, left = decide_group(waiting, whole=at[1] < 0)
-            out = [(at[0], None, k, s, m, None) for k, s, m in found] + [(at[0], r, k, s, 1, o) for r, k, s, o in left]
-            if out:
-                cols = list(zip(*out))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["seed_rank", "rank", "key", "start", "strings", "open"])
-
         for batch in batches:
-            for seed, salt, key, start, is_open, names in zip(*(c.to_pylist() for c in batch.columns)):
-                if (seed, salt) != at:
-                    yield from close()
-                    at, waiting = (seed, salt), []
-                waiting.append((key, start, is_open, names))
-        yield from close()
+            data, off = column_bytes(batch.column(3))
+            names = ranks(_FIRST[data], 1, half)
+            lists = batch.column(4)
+            job = lists.flatten()
+            cell = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            at, sample = batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy().astype(np.int64)
+            first, n = job.field(0).to_numpy().astype(np.int64) - at[cell], job.field(1).to_numpy().astype(np.int64)
+            # the strings of all jobs, by their offset from the sample
+            own = np.repeat(np.arange(len(cell)), n)
+            place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + first[own]
+            step = (sample[cell[own]] - place) // width
+            head = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (step[1:] != step[:-1])])) if len(own) else np.zeros(0, np.int64)
+            count, own, place, step = np.diff(np.append(head, len(own))), own[head], place[head], step[head]
+            base = off[cell[own]]
+            core = base + sample[cell[own]] - step * width
+            whole = base + place
+            kind = step.astype(U) * U(0x9E3779B97F4A7C15)
+            shape = (sample[cell[own]] - place).astype(U) * U(0x9E3779B97F4A7C15) + count.astype(U)
+            pairs = [mix(names[core] + kind), names[core + length + 1 - width - half], mix(names[whole] + shape), names[whole + count + length - 1 - half]]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(p.view(np.int64)) for p in pairs), batch.column(0).take(pa.array(cell[own])), batch.column(1).take(pa.array(cell[own])), pa.array(place + at[cell[own]], pa.int32()), pa.array(count, pa.int32()), job.field(2).take(pa.array(own))],
+                [*PAIR, "key", "at", "first", "strings", "open"],
+            )
 
-    return rows.repartition("seed_rank", "salt").sortWithinPartitions("seed_rank", "salt").mapInArrow(lean(run), SPANS)
+    return rows.mapInArrow(lean(run), ", ".join(f"{p} long" for p in PAIR) + ", key long, at int, first int, strings int, open boolean")
+
+
+def refine(cells: DataFrame, todo: DataFrame, length: int) -> DataFrame:
+    """(key, start, strings): the strings of open blocks that stand elsewhere too, step by step of WIDTHS."""
+    widths = [w for w in WIDTHS if w == 1 or 3 * w <= length + 3]
+    found = None
+    for width in widths:
+        rows = cut(rank_pairs(cells, todo, width, length))
+        one = F.min(F.struct("key", "at", "first", "strings", "open")).alias("one")
+        groups = cut(rows.groupBy(*PAIR).agg(F.count("*").alias("n"), one))
+        again = groups.filter("n > 1").select(*PAIR)
+        part = cut(rows.filter("open").join(again, PAIR, "left_semi").select("key", F.col("first").alias("start"), "strings"))
+        found = part if found is None else found.union(part)
+        if width > 1:
+            # of cores in several surroundings one block of each goes on, if any of them is still open
+            fresh = (F.col("n") == 1) & F.col("one.open")
+            kinds = groups.groupBy("core", "core_next").agg(F.count("*").alias("kinds"), F.max(fresh).alias("asked")).filter("kinds > 1 and asked")
+            todo = cut(groups.join(kinds, ["core", "core_next"], "left_semi").select("one.key", "one.at", "one.first", "one.strings", fresh.alias("open")))
+        del rows, groups, again
+        release(cells.sparkSession)
+    return found
 
 
 def as_number(start: Column, strings: Column) -> Column:
@@ -249,59 +251,62 @@ def as_number(start: Column, strings: Column) -> Column:
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """(key, spans: array of (start, strings)): where strings start that also start elsewhere, by row key."""
+    """(key, spans: array of (start, strings)): where strings start that also start elsewhere, by text."""
     if not seed <= length < 1 << STRING_BITS:
         raise ValueError(f"length must be from {seed} to {(1 << STRING_BITS) - 1}")
+    spark = docs.sparkSession
     again = cut(seed_ranks(docs, length, seed).groupBy("seed_rank").agg(F.sum("n").alias("n")).filter("n > 1").select("seed_rank"))
     alive = cut(cells(docs, length, seed).join(again, "seed_rank"))
     del again
-    release(docs.sparkSession)
-    contents = alive.groupBy("seed_rank", "content").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "strings")).alias("one"))
-    contents = cut(contents)
-    kinds = contents.groupBy("seed_rank").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    # all cells of a text but those whose content stands once; of these contents the one cell is known
-    # a cell as one number, as sets of numbers are compared by hash
+    release(spark)
+    contents = cut(alive.groupBy("seed_rank", "content").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "strings")).alias("one")))
+    # all cells of a text but those whose content stands once; of these contents the one cell is known.
+    # A cell as one number, as sets of numbers are compared by hash; copies of a text add nothing to its set
     single = contents.filter("n = 1").groupBy(F.col("one.key").alias("key")).agg(F.collect_list(as_number(F.col("one.start"), F.col("one.strings"))).alias("single"))
-    spans = alive.groupBy("key").agg(F.collect_list(as_number(F.col("start"), F.col("strings"))).alias("spans")).join(single, "key", "left")
+    spans = alive.groupBy("key").agg(F.collect_set(as_number(F.col("start"), F.col("strings"))).alias("spans")).join(single, "key", "left")
     spans = spans.select("key", F.when(F.col("single").isNull(), F.col("spans")).otherwise(F.array_except("spans", "single")).alias("spans"))
     back = F.transform("spans", lambda n: F.struct(F.shiftright(n, STRING_BITS).cast("int").alias("start"), n.bitwiseAND(F.lit((1 << STRING_BITS) - 1)).cast("int").alias("strings")))
     spans = cut(spans.select("key", back.alias("spans")))
     del alive
-    release(docs.sparkSession)
-    salt = F.when(F.col("kinds") > GROUP, F.pmod(F.xxhash64("content"), F.ceil(F.col("kinds") / GROUP))).otherwise(F.lit(-1)).cast("int")
-    open_ = contents.join(kinds, "seed_rank").select(F.col("one.key").alias("key"), F.struct("one.start", "one.strings", "seed_rank", (F.col("n") == 1).alias("open"), salt.alias("salt")).alias("cell"))
-    wanted = cut(open_.groupBy("key").agg(F.collect_list("cell").alias("cells")))
-    del contents, kinds, open_
-    release(docs.sparkSession)
-    decided = cut(decide(string_ranks(docs, wanted, length)))
-    del wanted
-    release(docs.sparkSession)
-    small = decided.filter("rank is null").select("key", "start", "strings")
-    left = decided.filter("rank is not null")
-    if not left.isEmpty():
-        both = left.groupBy("seed_rank", "rank").agg(F.count("*").alias("n")).filter("n > 1").select("seed_rank", "rank")
-        small = small.union(left.filter("open").join(both, ["seed_rank", "rank"]).select("key", "start", "strings"))
-    more = small.groupBy("key").agg(F.collect_list(F.struct("start", "strings")).alias("spans"))
+    release(spark)
+    # samples in several surroundings, of which one stands once
+    kinds = contents.groupBy("seed_rank").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
+    todo = cut(contents.join(kinds, "seed_rank", "left_semi").select("one.key", F.col("one.start").alias("at"), F.col("one.start").alias("first"), F.col("one.strings").cast("int").alias("strings"), (F.col("n") == 1).alias("open")))
+    del contents, kinds
+    release(spark)
+    wanted = todo.groupBy("key").agg(F.collect_list(F.struct(F.col("at").alias("start"), "strings")).alias("cells"))
+    bytes_of = cut(bodies(docs, wanted, length, seed))
+    release(spark)
+    more = refine(bytes_of, todo, length).groupBy("key").agg(F.collect_list(F.struct("start", "strings")).alias("spans"))
     return spans.union(more)
 
 
-def remove(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """docs with text reduced to what stays, and _n_bytes, _n_removed, _n_spans, _sha256; all columns stay."""
+MADE = ["n_bytes", "n_removed", "n_spans", "sha256"]
+
+
+def remove(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> tuple[DataFrame, list[str]]:
+    """docs with text reduced to what stays, and four more columns, whose names the list gives: MADE, made unlike those of docs.
+
+    Bytes of a character that a cut splits are left out of text; the digest is of all bytes that stay.
+    """
     prepare(docs.sparkSession)
-    spans = repeated(docs, length, seed)
-    joined = docs.withColumn("_key", row_key()).join(spans.groupBy(F.col("key").alias("_key")).agg(F.flatten(F.collect_list("spans")).alias("_spans")), "_key", "left")
-    at, kept = joined.columns.index("text"), joined.columns.index("_spans")
-    names, joined_names = docs.columns, joined.columns
+    names = docs.columns
+    made = fresh_names(names, MADE)
+    spans = repeated(docs.select("text"), length, seed)
+    inner = hidden(docs)
+    spans = spans.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    at = names.index("text")
+    joined = inner.withColumn("key", F.xxhash64(F.col(f"c{at}"))).join(spans, "key", "left").select(*inner.columns, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = column_bytes(batch.column(at))
-            lists = batch.column(kept)
+            column = batch.column(at)
+            data, off = column_bytes(column)
+            lists = batch.column(len(names))
             inner = lists.flatten()
             start, count = inner.field(0).to_numpy(zero_copy_only=False), inner.field(1).to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
-            texts, removed, runs_, digests = [], [], [], []
-            nulls = batch.column(at).is_null().to_pylist()
+            texts, removed, runs_, digests = column.to_pylist() if lists.null_count < batch.num_rows else column, [], [], []
             for k in range(batch.num_rows):
                 text = data[off[k] : off[k + 1]]
                 s = start[ends[k] : ends[k + 1]].astype(np.int64)
@@ -313,32 +318,29 @@ def remove(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame
                     runs_.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                     removed.append(int(gone.sum()))
                     text = text[~gone]
+                    texts[k] = text.tobytes().decode("utf-8", "ignore")
                 else:
                     runs_.append(0)
                     removed.append(0)
-                raw = text.tobytes()
-                digests.append(hashlib.sha256(raw).hexdigest())
-                texts.append(None if nulls[k] else raw)
-            # cuts may split a character, so what stays goes back to text with such bytes left out
-            plain = pa.array([None if t is None else t.decode("utf-8", "ignore") for t in texts], pa.string())
-            columns = {n: batch.column(k) for k, n in enumerate(joined_names)} | {"text": plain}
-            yield pa.RecordBatch.from_arrays(
-                [*(columns[n] for n in names), pa.array(np.diff(off), pa.int64()), pa.array(removed, pa.int64()), pa.array(runs_, pa.int64()), pa.array(digests, pa.string())],
-                [*names, "_n_bytes", "_n_removed", "_n_spans", "_sha256"],
-            )
+                digests.append(hashlib.sha256(text.tobytes()).hexdigest())
+            columns = batch.columns[: len(names)]
+            columns[at] = texts if texts is column else pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(off), pa.int64()), pa.array(removed, pa.int64()), pa.array(runs_, pa.int64()), pa.array(digests, pa.string())], [*names, *made])
 
-    fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return joined.mapInArrow(lean(run), f"{fields}, _n_bytes long, _n_removed long, _n_spans long, _sha256 string")
+    kinds = dict(zip(made, (T.LongType(), T.LongType(), T.LongType(), T.StringType())))
+    return joined.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in kinds.items())])), made
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove(docs).select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_sha256").alias("kept_sha256"))
+    out, made = remove(docs)
+    return out.select("doc_id", *(F.col(m).alias(n) for m, n in zip(made, ("n_bytes", "n_removed", "n_spans", "kept_sha256"))))
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """The documents without their repeated bytes, with their own columns; those left without text go."""
-    return remove(docs, length, seed).filter("_n_removed = 0 or length(trim(text)) > 0").select(*docs.columns)
+    out, made = remove(docs, length, seed)
+    return out.filter((F.col(made[1]) == 0) | (F.length(F.trim("text")) > 0)).select(*docs.columns)
 
 
 #: The same by brute force, for DuckDB: all strings of 200 bytes, their digests counted.
