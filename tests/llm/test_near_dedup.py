@@ -64,17 +64,39 @@ def test_against_brute_force(docs, monkeypatch, rows_per_partition):
     assert result(docs(rows)) == brute(rows)
 
 
-def test_one_large_group_of_near_copies(docs):
+@pytest.mark.parametrize("n, crowd, load, rows_per_partition", [(600, 1024, 2_000_000, 40_000), (600, 64, 4_000, 500), (2200, 256, 2_000_000, 3_000)])
+def test_one_large_group_of_near_copies(docs, monkeypatch, n, crowd, load, rows_per_partition):
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    monkeypatch.setattr(near_dedup, "LOAD", load)
+    monkeypatch.setattr(near_dedup, "ROWS_PER_PARTITION", rows_per_partition)
     rng = random.Random(8)
     base = [f"b{k}" for k in range(150)]
     rows = []
-    for k in range(600):
+    for k in range(n):
         t = list(base)
         for _ in range(rng.randrange(0, 9)):
             t[rng.randrange(150)] = f"x{rng.random()}"
         rows.append((k, " ".join(t)))
-    want, got = brute(rows), result(docs(rows))
-    assert sum(a != b for a, b in zip(want, got)) <= 6  # of 600, right at the threshold
+    assert result(docs(rows)) == brute(rows)
+
+
+def test_small_batches(docs, spark, monkeypatch):
+    """Batches of five rows: what is compared doesn't depend on where they end."""
+    monkeypatch.setattr(near_dedup, "prepare", lambda spark: spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5"))
+    rows = corpus(random.Random(21), groups=12)
+    try:
+        assert result(docs(rows)) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_ties_and_long_texts(docs):
+    """Neighbours that agree alike, and two near copies of 60,000 words beside short ones."""
+    long = [f"w{k % 50_021}" for k in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-500])), (3, " ".join(long[:200]))]
+    base = [f"b{k}" for k in range(40)]
+    rows += [(10 + k, " ".join([*base, f"x{k}"])) for k in range(6)] + [(30, " ".join(base)), (31, " ".join(base))]
+    assert result(docs(rows)) == brute(rows)
 
 
 def test_short_case_and_odd_rows(docs, odd):
@@ -95,18 +117,34 @@ def test_keep_one(docs, odd):
     assert sorted(r["text"] for r in keep_one(docs(twice)).collect()) == sorted([text, twice[1][1]])
 
 
-def test_partners_far_apart_in_a_crowded_region(spark):
-    """Two signatures that agree but in one value, at the two ends of a region of 700."""
+@pytest.mark.parametrize("crowd", [1024, 64])
+def test_partners_far_apart_in_a_crowded_region(spark, monkeypatch, crowd):
+    """Two signatures that agree but in one value, at the two ends of a region of 700; half of it is one component."""
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
     rng = np.random.RandomState(12)
     sig = rng.randint(1, 65535, (700, near_dedup.VALUES)).astype(np.uint16)
     sig[:, :2] = 7
     sig[699] = sig[0]
     sig[0, 2], sig[699, 2] = 0, 65535
+    sig[5] = sig[2]
     raw = [s.astype(">u2").tobytes() for s in sig]
-    rows = [(0, bytearray(s[:48]), bytearray(s[:4]), 700, k, k, bytearray(s)) for k, s in enumerate(raw)]
-    frame = spark.createDataFrame(rows, "tree int, key binary, head binary, m long, cid long, comp long, sig binary")
-    near = near_dedup.in_order(frame, near_dedup.nearest, "cid long, other long, agree double", 700).collect()
-    assert [sorted((r["cid"], r["other"])) for r in near] == [[0, 699]]
+    rows = [(0, bytearray(s[:4]), k, k if k > 350 else 1, 9, bytearray(s)) for k, s in enumerate(raw)]
+    frame = spark.createDataFrame(rows, "tree int, head binary, cid long, comp long, n long, sig binary")
+    pieces = near_dedup.deal(frame)
+    assert pieces.groupBy("piece").count().agg({"count": "max"}).first()[0] <= (700 if crowd > 700 else 4 * crowd)
+    near = near_dedup.in_pieces(frame, near_dedup.across(80), "tree int, cid long").distinct().collect()
+    assert sorted(r["cid"] for r in near) == [0, 699]  # 2 and 5 are of one component
+
+
+def test_clashing_names(docs):
+    from pyspark.sql import functions as F
+
+    frame = docs([(1, "one and the same text of some words"), (2, "one and the same text of some words"), (3, None)])
+    for n in ("_text_key", "_id", "_key", "_rows", "id", "key", "rows", "cid", "n", "c0"):
+        frame = frame.withColumn(n, F.lit(n))
+    out = keep_one(frame)
+    assert out.columns == frame.columns
+    assert sorted((r["doc_id"], r["_id"], r["rows"]) for r in out.collect()) == [(1, "_id", "rows"), (3, "_id", "rows")]
 
 
 @pytest.mark.parametrize("crowd", [1024, 64])
