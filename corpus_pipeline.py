@@ -3,6 +3,22 @@
 Each stage takes (spark, docs, sf_dir) and its result is written as Parquet and read again for the next.
 All but the last return the columns of documents; the last returns each document that the mix takes, with
 its text and how many of its words are taken, repeats counted.
+
+Defined results, by stage:
+
+- quality classifier: a null, empty or blank text scores as the labelled sample's share of label 1 and stays or
+  goes by that; equal rows score alike.
+- near-duplicates: of equal rows one stays; texts without words are no duplicates and all stay; of a group the
+  smallest id stays, a null id only if there is no other.
+- suffix-array dedup: texts under 200 bytes stay as they are, nulls too; bytes of a character that a cut splits
+  are lost with it; documents of which nothing is left go.
+- benchmark decontamination: null and empty texts stay; items without words match nothing.
+- mixing: texts without words take nothing and go; equal rows and different texts under one id, null ids too,
+  each have their own share.
+
+Texts of any length are worked on whole. Empty tables give empty results; without labels every score is 0.5, so
+nothing passes the quality stage. All columns of documents pass through the first four stages, whatever their
+names; the last returns doc_id, text, lang, source, size, taken and repeats.
 """
 
 from __future__ import annotations
@@ -12,7 +28,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, shared_folder, table
+from tidemark.llm.common import cut, delete, shared_folder, table
 from tidemark.llm.decontaminate import drop_leaks
 from tidemark.llm.mixture import mix
 from tidemark.llm.near_dedup import keep_one
@@ -44,7 +60,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents with their text, the words taken and how often the text is repeated; what it takes nothing of goes."""
     key = ["doc_id", "source", "_key"]
-    keyed = docs.withColumn("_key", F.xxhash64("text", "lang"))
+    keyed = docs.select("doc_id", "text", "lang", "source").withColumn("_key", F.xxhash64("text", "lang"))
     shares = mix(keyed, also=["_key"]).groupBy(*key, "size", "taken", "repeats").agg(F.count("*").alias("_n"))
     rows = F.sum("_n").over(Window.partitionBy(*key))
     shares = cut(shares.withColumn("_rows", rows).filter("taken > 0").withColumnsRenamed({c: f"_of_{c}" for c in key}))
@@ -82,4 +98,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             out.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
-    return out
+            if k:
+                delete(spark, f"{folder}/{k - 1}")
+    return out  # reads the last folder, which therefore stays

@@ -1,5 +1,6 @@
 import numpy as np
 
+from tidemark.llm import neighbours
 from tidemark.llm.neighbours import nearest, usable
 from pyspark.sql import functions as F
 
@@ -55,3 +56,28 @@ def test_odd_vectors(spark):
     assert got == [(0, 1, 7, 0.707107), (0, 2, 50, 0.0), (50, 1, 7, 0.707107), (50, 2, 0, 0.0)]
     empty = frame(spark, [])
     assert nearest(empty, empty).collect() == []
+
+
+def test_partitions_do_not_matter(spark, monkeypatch):
+    """Several shards, rows in 1 and 16 partitions: the same answers, and most of the nearest."""
+    monkeypatch.setattr(neighbours, "SHARD", 900)
+    rng = np.random.RandomState(3)
+    rows = [(i, rng.standard_normal(64).astype(np.float32).tolist()) for i in range(4000)]
+    answers = []
+    for n in (1, 16):
+        found = frame(spark, rows).repartition(n)
+        answers.append(sorted(tuple(r) for r in nearest(found, found.filter(F.col("id") % 50 == 0)).collect()))
+    assert answers[0] == answers[1]
+    want = brute(rows)
+    assert sum(r[2] in want[r[0]] for r in answers[0]) >= 0.9 * 5 * len(want)
+
+
+def test_fewer_than_five_and_a_frequent_vector(spark):
+    few = frame(spark, [(50 * i, [1.0, float(i)]) for i in range(4)])
+    got = nearest(few, few.filter(F.col("id") % 50 == 0)).collect()
+    assert len(got) == 12 and {r["rank"] for r in got} == {1, 2, 3}
+    rng = np.random.RandomState(4)
+    same = rng.standard_normal(16).astype(np.float32).tolist()
+    many = frame(spark, [(i, same if i % 3 else rng.standard_normal(16).astype(np.float32).tolist()) for i in range(1500)])
+    got = nearest(many, many.filter(F.col("id") % 50 == 0)).collect()
+    assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == 50), key=lambda r: r["rank"])] == [1, 2, 4, 5, 7]

@@ -26,6 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder wherever Spark's file systems have it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of shuffle files that nothing needs any more, instead of whenever the driver collects its garbage."""
     gc.collect()
@@ -75,4 +81,4 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-__all__ = ["ascii_lower", "cut", "fresh_names", "hidden", "lean", "prepare", "release", "shared_folder", "table"]
+__all__ = ["ascii_lower", "cut", "delete", "fresh_names", "hidden", "lean", "prepare", "release", "shared_folder", "table"]

@@ -8,11 +8,12 @@ target's rest is used up, the last one in part.
 
 Only DataFrame operations run here. A source's rows are never gathered in one task: the seeded order is
 walked by sums over 4096 hash ranges, then over 4096 sub-ranges of the one range in which the rest ends.
-The sub-range left, 1/16,777,216 of a source, is ordered by a window.
+The sub-range left, 1/16,777,216 of a source, is ordered by a window, rows equal in id and size as one.
 
 Defined results: a null or empty text has size 0 and takes 0; a null source is a source of its own, after
 all others; repeated rows each count and each have a place in the order; ties in the seeded order go by doc_id (null
-first), then size; an empty table gives an empty result; other columns are ignored.
+first), then size; a very long text is counted in place, by one pass of a regular expression; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -117,10 +118,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1
     at = F.when(F.col("_need") <= 0, F.lit(1)).when(F.col("_r1") != F.col("_b1"), F.sign(F.col("_r1") - F.col("_b1"))).otherwise(F.sign(F.col("_r2") - F.col("_b2"))).cast("int")
     all_ = all_.withColumn("_at", at)
     clear = all_.filter(F.col("_at") != 0).withColumn("_part", F.when(F.col("_at") < 0, F.col("size")).otherwise(F.lit(0)))
+    # rows equal in all that orders them are one row with a count until their shares are known
+    given = ["source_size", "target", "_whole", "_need", "_p2"]
+    last = all_.filter(F.col("_at") == 0).groupBy("source", "_r3", "doc_id", "size", *also, *given).agg(F.count("*").alias("_n"))
     w = Window.partitionBy("source").orderBy("_r3", "doc_id", "size", *also).rowsBetween(Window.unboundedPreceding, 0)
-    last = all_.filter(F.col("_at") == 0).withColumn("_left", F.col("_need") - F.col("_p2") - F.sum("size").over(w) + F.col("size"))
-    last = last.withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left")))).drop("_left")
-    both = clear.unionByName(last)
+    last = last.withColumn("_left", F.col("_need") - F.col("_p2") - F.sum(F.col("_n") * F.col("size")).over(w) + F.col("_n") * F.col("size"))
+    last = last.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    last = last.withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left") - F.col("_k") * F.col("size"))))
+    wanted = ["doc_id", "source", "size", "source_size", "target", "_whole", "_part", *also]
+    both = clear.select(*wanted).unionByName(last.select(*wanted))
     taken = (F.col("_whole") * F.col("size") + F.col("_part")).cast("long")
     repeats = F.when(F.col("size") > 0, taken / F.col("size")).otherwise(F.lit(0.0))
     return both.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", taken.alias("taken"), repeats.alias("repeats"), *also)

@@ -1,26 +1,31 @@
 """Approximate nearest neighbours by a forest of hash prefixes.
 
-Every row is indexed. A shard of at most ``SHARD`` rows has ``TREES`` trees; a tree is the sorted array of the
-rows' hash strings, of ``BITS`` bits each, the signs of random projections. For a query each tree gives the
-rows that share a prefix of its hash string. The search starts at the longest prefix that anything matches
-and ascends in all trees at once, one bit at a time, until the trees together list ``SHARE`` times the shard;
-all rows met are candidates and are compared exactly, in double precision. In shards of up to ``LEAST`` rows
-all are candidates. After
-Bawa, Condie and Ganesan, "LSH Forest" (2005).
-
-Queries are a stated set and go to the shards in blocks of ``QUERY_BLOCK`` rows; each shard answers with its
-best, and a top-k over shards is the result. No row is left out of a shard, whatever its group: equal vectors
-are looked at once and bring their smallest ids, which are the only ones that can be among the k.
+Every row is indexed. Rows are dealt by a hash of their id into shards of about ``SHARD``; a shard has ``TREES``
+trees, and a tree is the sorted array of the rows' hash strings, of ``BITS`` bits each, the signs of random
+projections. For a query each tree gives the rows that share a prefix of its hash string. The search starts at
+the longest prefix that anything matches and ascends in all trees at once, one bit at a time, until the trees
+together have met ``SHARE`` of the shard's rows, and ``FEWEST`` of them in any case; all rows met are candidates
+and are compared exactly, in double precision. After Bawa, Condie and Ganesan, "LSH Forest" (2005).
+
+Queries are a stated set. They go to every shard by a shuffle and pass by its forest batch by batch, so a task
+holds one shard and one batch, and nothing goes through the driver. Each shard answers with its best, and a top-k
+over shards is the result. The work grows with queries times rows, as the stated set does with the table; what
+the forest saves is 1 - SHARE of the comparisons. The nearer to isotropic the vectors, the larger SHARE has to
+be: README gives the recall measured. No row is left out of a shard, whatever its group: equal vectors are looked
+at once and bring their smallest ids, which are the only ones that can be among the k.
+
+The answer depends on the table only, not on how its rows are partitioned.
 
 Defined results: rows with a null id, and vectors that are null, empty, zero or hold null or non-finite
 numbers take no part; vectors of different lengths are never compared; a query meets all rows but those with
 its own id; equal rows count once; of different vectors under one id the smallest is the query and all are
 candidates, the id listed once with its best score; ties go to the smaller id; an empty table gives an empty
-result; other columns are ignored.
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +35,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import lean, prepare
 
-TREES, BITS, SHARE, LEAST = 32, 48, 0.8, 256
-SHARD, QUERY_BLOCK = 100_000, 20_000
+TREES, BITS, SHARE, FEWEST = 64, 24, 0.4, 100
+SHARD = 25_000
 
 
 def planes(size: int) -> np.ndarray:
@@ -68,7 +73,7 @@ class Forest:
         strings = hash_strings(self.vectors, self.normal)
         self.order = np.argsort(strings, axis=1)
         self.sorted = np.take_along_axis(strings, self.order, axis=1)
-        self.want = int(SHARE * len(head))
+        self.want = min(len(head), max(FEWEST, int(np.ceil(SHARE * len(head)))))
 
     def ranges(self, strings: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """(trees, queries): first and end of the rows that share ``depth`` leading bits."""
@@ -81,9 +86,6 @@ class Forest:
     def candidates(self, queries: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Each query with the rows that its ascent meets."""
         left = np.arange(len(queries))
-        if len(self.vectors) <= LEAST:
-            yield from ((int(q), np.arange(len(self.vectors))) for q in left)
-            return
         strings = hash_strings(queries, self.normal)
         # descend: no prefix longer than log2(rows) + some bits matches more than a few rows
         for depth in range(min(BITS, len(self.vectors).bit_length() + 8), -1, -1):
@@ -93,7 +95,10 @@ class Forest:
                 met = np.zeros(len(self.vectors), bool)
                 for t in range(TREES):
                     met[self.order[t, a[t, q] : b[t, q]]] = True
-                yield int(left[q]), np.flatnonzero(met)
+                rows = np.flatnonzero(met)
+                done[q] = len(rows) >= self.want
+                if done[q]:
+                    yield int(left[q]), rows
             left = left[~done]
             if not len(left):
                 return
@@ -129,63 +134,44 @@ def matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query (id, v) among rows (id, v)."""
-    spark = rows.sparkSession
-    prepare(spark)
-    out = None
-    for block in query_blocks(queries):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            asked: dict[int, tuple[np.ndarray, np.ndarray]] = shared.value
-            waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-
-            def answer(n: int) -> Iterator[pa.RecordBatch]:
-                parts = waiting.pop(n)
-                forest = Forest(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), k)
-                found = list(forest.search(*asked[n], k))
-                if found:
-                    q, i, s = zip(*found)
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
-
-            for batch in batches:
-                ids = batch.column(0).to_numpy()
-                for at, vectors in matrix(batch.column(1)):
+    prepare(rows.sparkSession)
+    shards = max(1, math.ceil(rows.count() / SHARD))
+    dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("role"), "id", "v")
+    # of different vectors under one id the smallest asks
+    asked = queries.groupBy("id").agg(F.min("v").alias("v")).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("role"), "id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, forests = None, {}
+        waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            shard, role, ids = (batch.column(c).to_numpy() for c in range(3))
+            place = shard.astype(np.int64) * 2 + role
+            head = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else []
+            for lo, hi in zip(head, [*head[1:], len(place)]):
+                part = matrix(batch.column(3).slice(lo, hi - lo))
+                if shard[lo] != now:
+                    now, forests, waiting = shard[lo], {}, {}
+                if role[lo] == 0:
+                    for at, vectors in part:
+                        waiting.setdefault(vectors.shape[1], []).append((ids[lo + at], vectors))
+                    continue
+                for at, vectors in part:
                     n = vectors.shape[1]
-                    if n in asked:
-                        waiting.setdefault(n, []).append((ids[at], vectors))
-                        if sum(len(p[0]) for p in waiting[n]) >= SHARD:
-                            yield from answer(n)
-            for n in list(waiting):
-                yield from answer(n)
-
-        part = rows.mapInArrow(lean(run), "query_id long, vec_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, score double")
-    best = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+                    if n in waiting:
+                        parts = waiting.pop(n)
+                        forests[n] = Forest(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), k)
+                    if n in forests:
+                        found = list(forests[n].search(ids[lo + at], vectors, k))
+                        if found:
+                            q, i, s = zip(*found)
+                            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
+
+    met = dealt.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "role", "id").mapInArrow(lean(run), "query_id long, vec_id long, score double")
+    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def query_blocks(queries: DataFrame) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Blocks of at most QUERY_BLOCK queries, by vector length."""
-    one = queries.groupBy("id").agg(F.min("v").alias("v"))
-    ids, vectors = [], []
-
-    def block():
-        sizes = np.array([len(v) for v in vectors])
-        return {int(n): (np.array(ids)[sizes == n], np.array([v for v in vectors if len(v) == n])) for n in np.unique(sizes)}
-
-    for r in one.toLocalIterator():
-        ids.append(r["id"])
-        vectors.append(np.array(r["v"]))
-        if len(ids) == QUERY_BLOCK:
-            yield block()
-            ids, vectors = [], []
-    if ids:
-        yield block()
-
-
 def op2_nearest(spark, sf_dir: str) -> DataFrame:
     rows = usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return nearest(rows, rows.filter(F.col("id") % 50 == 0))

@@ -22,13 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import lean, prepare
+from tidemark.llm.common import fresh_names, lean, prepare
 from tidemark.llm.labelled import crc_class, sample
 from tidemark.llm.textvec import NOT_BLANK, Block, U, blocks, mix, run_hashes, shingles, unique_by_text
 
 SAMPLE, TERMS, RANK, NEIGHBOURS, POWER = 1500, 2048, 48, 25, 8
 THRESHOLD = 0.7
-SCORE = "_quality_score"
 MODULUS, HELD_OUT = 4, 2
 
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -155,34 +154,36 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(idf, [(y, np.frombuffer(c, np.int32), np.frombuffer(m, np.int32)) for _, y, c, m in rows])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with one more column, SCORE; all columns stay."""
+def score(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name, which is none of theirs; all columns stay."""
     prepare(docs.sparkSession)
+    (name,) = fresh_names(docs.columns, ["quality_score"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             parts = [m.score(project(terms(block), block.n, m.idf, m.basis)) for block in blocks(batch.column(at))]
             got = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*batch.schema.names, SCORE])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*batch.schema.names, name])
 
     return docs.mapInArrow(lean(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    model = fit(docs, labels)
-    return score(docs.select("doc_id", "text"), model).select(
-        "doc_id", (crc_class(F.col("doc_id"), MODULUS) == HELD_OUT).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= THRESHOLD).cast("int").alias("predicted")
+    scored, name = score(docs.select("doc_id", "text"), fit(docs, labels))
+    return scored.select(
+        "doc_id", (crc_class(F.col("doc_id"), MODULUS) == HELD_OUT).alias("held_out"), F.col(name).alias("score"), (F.col(name) >= THRESHOLD).cast("int").alias("predicted")
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows whose score reaches the threshold, with their own columns."""
-    return score(docs, fit(docs, labels)).filter(F.col(SCORE) >= THRESHOLD).select(*docs.columns)
+    scored, name = score(docs, fit(docs, labels))
+    return scored.filter(F.col(name) >= THRESHOLD).drop(name)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

@@ -9,14 +9,16 @@ links are folded into one table of next state and pops, and many words take thei
 A word is a run of ``[^\\x20\\x09-\\x0D]`` and is read with one blank before it, as in the vocabulary. A word
 that the vocabulary can't spell counts as one token (with all 256 bytes in it, there is none).
 
-Defined results: a null or empty text has 0 words and 0 tokens; repeated rows each get their row; an empty
-table gives an empty result; other columns are ignored. The vocabulary is read once on the driver from a
-path that is a parameter; its size is bounded by ``MAX_VOCABULARY_BYTES``.
+Defined results: a null or empty text has 0 words and 0 tokens; repeated rows each get their row; a very long
+text is one block, read whole; an empty table gives an empty result; other columns are ignored, whatever their
+names. The vocabulary is read once on the driver from a path that is a parameter; its size is bounded by
+``MAX_VOCABULARY_BYTES`` and ``MAX_NODES``, beyond which it is refused.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -29,6 +31,8 @@ from tidemark.llm.textvec import NOT_BLANK, blocks
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_VOCABULARY_BYTES = 64 << 20
+#: Nodes of the trie; each has 1,280 bytes of tables in every worker process, so 256 MB at most.
+MAX_NODES = 200_000
 BLANK = 32
 
 
@@ -54,6 +58,8 @@ class Automaton:
             for b in piece:
                 nxt = child[at].get(b)
                 if nxt is None:
+                    if len(child) == MAX_NODES:
+                        raise ValueError(f"the vocabulary has more than {MAX_NODES} beginnings of pieces")
                     nxt = child[at][b] = len(child)
                     child.append({})
                     final.append(False)
@@ -113,11 +119,11 @@ class Automaton:
         return out
 
 
-_built: dict[int, Automaton] = {}
+_built: dict[bytes, Automaton] = {}
 
 
-def automaton(key: int, pieces: list[bytes]) -> Automaton:
-    """One automaton for a worker process."""
+def automaton(key: bytes, pieces: list[bytes]) -> Automaton:
+    """One automaton for a worker process; key: digest of the pieces."""
     if key not in _built:
         _built.clear()
         _built[key] = Automaton(pieces)
@@ -129,7 +135,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     prepare(docs.sparkSession)
     pieces = read_vocabulary(vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
-    key = hash((vocabulary, len(pieces)))
+    key = hashlib.sha256(b"\n".join(base64.b64encode(p) for p in pieces)).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(key, shared.value)
