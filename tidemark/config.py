@@ -33,9 +33,41 @@ class IntakeConfig:
 
 @dataclass(frozen=True)
 class RasterConfig:
+    """How print is told from paper. Fixed values of the label family: limits of scans, and of a table's proportions."""
+
     max_side: int = 4800
     max_pixels: int = 16_000_000
     portrait_ratio: float = 1.1
+    #: Paper is this quantile of a row or column; ink is darker by this share of it, and by so many levels.
+    paper_quantile: float = 0.8
+    ink_share: float = 0.04
+    ink_levels: float = 6.0
+    #: A line of print has some ink this much darker than paper; ink over most of its width is a rule.
+    print_share: float = 0.11
+    print_levels: float = 14.0
+    rule_share: float = 0.72
+    #: Insets of a cell's usable width, and how far below a header its value may stand.
+    inset_left: float = 0.035
+    inset_right: float = 0.15
+    reach_below: float = 0.09
+    reach_least: int = 26
+    #: A weight column's width, as a share of the page's and at least so many pixels.
+    column_low: float = 0.032
+    column_high: float = 0.19
+    column_low_px: int = 24
+    column_high_px: int = 180
+    #: Two weight columns are alike; the goods column after them is narrower, the one before wider.
+    alike_low: float = 0.65
+    alike_high: float = 1.35
+    narrower: float = 0.85
+    wider: float = 1.35
+    #: Where a single weight column begins, and its neighbour's width beside its own.
+    single_from: float = 0.16
+    single_to: float = 0.32
+    beside_low: float = 0.55
+    beside_high: float = 1.25
+    #: A rule with this share of the strongest one's ink is part of the table.
+    strong: float = 0.45
 
 
 MATCH, INTAKE, RASTER = MatchConfig(), IntakeConfig(), RasterConfig()

@@ -31,22 +31,24 @@ def exact_rollup(spark, d):
 
 def fuzzy(spark, d):
     """Supplier names within one edit of customer names, recast to one form."""
-    a = _t(spark, d, "customer").select("c_custkey", F.concat(F.lit("S"), F.substring("c_name", -5, 5)).alias("cn"))
-    b = _t(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("S"), F.substring("s_name", -5, 5)).alias("sn"))
+    a = _t(spark, d, "customer").select("c_custkey", F.concat(F.lit("S"), F.substring("c_name", -9, 9)).alias("cn"))
+    b = _t(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("S"), F.substring("s_name", -9, 9)).alias("sn"))
     return identify.fuzzy_lookup(a, "cn", b, "sn", 1).select("c_custkey", "s_suppkey", F.col("_distance").cast("int").alias("distance"))
 
 
 def exact_then_fuzzy(spark, d):
     """Damaged part keys: exact lookup first, near lookup only for those without one."""
     parts = _t(spark, d, "part").select("p_partkey", F.lpad(F.col("p_partkey").cast("string"), 7, "0").alias("pid"))
-    scans = _t(spark, d, "lineitem").filter("l_linenumber = 1 and l_quantity >= 49").select("l_orderkey", "l_partkey")
+    scans = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     key = F.lpad(F.col("l_partkey").cast("string"), 7, "0")
     scans = scans.withColumn("scan", F.when(F.col("l_orderkey") % 4 == 0, F.concat(F.substring(key, 1, 6), F.lit("X"))).otherwise(key))
-    exact = identify.exact_lookup(scans, "scan", parts, "pid").select("l_orderkey", "scan", "p_partkey", F.lit(0).alias("distance"))
-    left = scans.join(exact.select("l_orderkey"), "l_orderkey", "left_anti")
-    near = identify.fuzzy_lookup(left, "scan", parts, "pid", 1)
-    near = ordered.top_k(near, "l_orderkey", [F.asc("_distance"), F.asc("p_partkey")])
-    return exact.unionByName(near.select("l_orderkey", "scan", "p_partkey", F.col("_distance").cast("int").alias("distance")))
+    line = ["l_orderkey", "l_linenumber"]
+    exact = identify.exact_lookup(scans, "scan", parts, "pid").select(*line, "scan", "p_partkey", F.lit(0).alias("distance"))
+    left = scans.join(exact.select(*line), line, "left_anti")
+    # near ids are looked up once for each different reading
+    read = left.select("scan").distinct()
+    near = ordered.top_k(identify.fuzzy_lookup(read, "scan", parts, "pid", 1), "scan", [F.asc("_distance"), F.asc("p_partkey")])
+    return exact.unionByName(left.join(near.select("scan", "p_partkey", F.col("_distance").cast("int").alias("distance")), "scan").select(*line, "scan", "p_partkey", "distance"))
 
 
 def keep_first(spark, d):
@@ -114,7 +116,7 @@ def url_digits(spark, d):
 
 def fuzzy_substring(spark, d):
     """Words of documents that nearly hold a word."""
-    words = _t(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter(F.length("w").between(5, 14) & F.col("w").rlike("^[A-Za-z|1]+$"))
+    words = _t(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     return words.filter(text.holds_nearly(F.col("w"), "worthless", 1)).select("w", "n")
 
 
@@ -208,9 +210,9 @@ def not_covered(spark, d):
     """Line items as boxes of quantity and price that no other status' average box covers."""
     box = lambda x0, y0, x1, y1: F.struct(*[v.cast("double").alias(n) for v, n in ((x0, "x0"), (y0, "y0"), (x1, "x1"), (y1, "y1"))])
     q, p = F.col("l_quantity"), F.col("l_discount") * 100
-    items = _t(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_returnflag").alias("image_id"), "l_orderkey", box(q, p, q + 4, p + 4).alias("bbox"))
+    items = _t(spark, d, "lineitem").select(F.col("l_returnflag").alias("image_id"), "l_orderkey", "l_linenumber", box(q, p, q + 4, p + 4).alias("bbox"))
     heads = spark.createDataFrame([("A", 10.0), ("N", 20.0), ("R", 30.0)], "image_id string, x double").select("image_id", box(F.col("x"), F.lit(0), F.col("x") + 9, F.lit(9)).alias("bbox"))
-    return spatial.not_covered(items, heads, "image_id").select("l_orderkey", "image_id")
+    return spatial.not_covered(items, heads, "image_id").select("l_orderkey", "l_linenumber", "image_id")
 
 
 def position_scores(spark, d):
@@ -222,7 +224,7 @@ def position_scores(spark, d):
 
 def pages_of_orders(spark, d):
     """Orders as pages: their key in the header, in one word or in parts, two headers, a printed price under each."""
-    o = _t(spark, d, "orders").filter("o_orderkey % 10 = 0").select("o_orderkey", "o_totalprice")
+    o = _t(spark, d, "orders").select("o_orderkey", "o_totalprice")
     key = F.lpad((F.col("o_orderkey") + 300_000_000).cast("string"), 9, "0")
     word = lambda n, t, x0, y0, x1, y1: F.struct(F.lit(n).alias("word_ord"), t.alias("text"), F.lit(90.0).alias("confidence"), F.struct(F.lit(x0).alias("x0"), F.lit(y0).alias("y0"), F.lit(x1).alias("x1"), F.lit(y1).alias("y1")).alias("bbox"))
     price = (F.col("o_totalprice") % 1000).cast("decimal(7,2)").cast("string")
@@ -271,12 +273,13 @@ def regions(spark, d):
 
 SQL = {
     "q01_exact_lookup": "SELECT c_mktsegment, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_final, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0 GROUP BY 1",
-    "q02_fuzzy_lookup": "WITH a AS (SELECT c_custkey, 'S' || right(c_name, 5) AS cn FROM customer), b AS (SELECT s_suppkey, 'S' || right(s_name, 5) AS sn FROM supplier) SELECT c_custkey, s_suppkey, levenshtein(cn, sn)::INT AS distance FROM a, b WHERE levenshtein(cn, sn) <= 1",
+    "q02_fuzzy_lookup": "WITH a AS (SELECT c_custkey, 'S' || right(c_name, 9) AS cn FROM customer), b AS (SELECT s_suppkey, 'S' || right(s_name, 9) AS sn FROM supplier) SELECT c_custkey, s_suppkey, levenshtein(cn, sn)::INT AS distance FROM a, b WHERE levenshtein(cn, sn) <= 1",
     "q03_exact_then_fuzzy": """WITH parts AS (SELECT p_partkey, lpad(p_partkey::VARCHAR, 7, '0') AS pid FROM part),
-        scans AS (SELECT l_orderkey, CASE WHEN l_orderkey % 4 = 0 THEN substr(lpad(l_partkey::VARCHAR, 7, '0'), 1, 6) || 'X' ELSE lpad(l_partkey::VARCHAR, 7, '0') END AS scan FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 49),
-        ex AS (SELECT l_orderkey, scan, p_partkey, 0 AS distance FROM scans JOIN parts ON scan = pid),
-        near AS (SELECT l_orderkey, scan, p_partkey, levenshtein(scan, pid)::INT AS distance FROM scans, parts WHERE l_orderkey NOT IN (SELECT l_orderkey FROM ex) AND levenshtein(scan, pid) <= 1)
-        SELECT * FROM ex UNION ALL SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY distance, p_partkey) = 1""",
+        scans AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 4 = 0 THEN substr(lpad(l_partkey::VARCHAR, 7, '0'), 1, 6) || 'X' ELSE lpad(l_partkey::VARCHAR, 7, '0') END AS scan FROM lineitem),
+        ex AS (SELECT l_orderkey, l_linenumber, scan, p_partkey, 0 AS distance FROM scans JOIN parts ON scan = pid),
+        readings AS (SELECT DISTINCT scan FROM scans WHERE scan NOT IN (SELECT pid FROM parts)),
+        near AS (SELECT scan, p_partkey, levenshtein(scan, pid)::INT AS distance FROM readings, parts WHERE levenshtein(scan, pid) <= 1 QUALIFY row_number() OVER (PARTITION BY scan ORDER BY levenshtein(scan, pid), p_partkey) = 1)
+        SELECT * FROM ex UNION ALL SELECT l_orderkey, l_linenumber, scan, p_partkey, distance FROM scans JOIN near USING (scan)""",
     "q04_keep_first": "SELECT o_custkey, o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1",
     "q05_keep_last": "SELECT o_custkey, o_orderkey, o_orderpriority, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first_o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1",
     "q06_upper_median": "SELECT l_returnflag, l_linestatus, list_sort(list(l_extendedprice))[floor(count(*) / 2)::BIGINT + 1] AS med FROM lineitem GROUP BY 1, 2",
@@ -289,7 +292,7 @@ SQL = {
     "q12_containment": "WITH b AS (SELECT p_size, min(p_retailprice) * 100 AS low FROM part GROUP BY 1) SELECT o_orderkey, p_size FROM orders, b WHERE o_totalprice BETWEEN low AND low + 500",
     "q13_glyph_repair": "WITH d AS (SELECT c_custkey, translate(right(c_name, 9), '018', 'OIB') AS damaged FROM customer), r AS (SELECT c_custkey, damaged, regexp_replace(damaged, '[^A-Za-z0-9|]', '', 'g') AS compact FROM d), s AS (SELECT *, CASE WHEN len(compact) >= 7 AND len(regexp_replace(compact, '[^A-Za-z]', '', 'g')) <= 2 THEN nullif(regexp_replace(translate(upper(compact), 'OQDIL|ZSGB', '0001112568'), '[^0-9]', '', 'g'), '') END AS repaired, nullif(regexp_replace(damaged, '[^0-9]', '', 'g'), '') AS plain FROM r) SELECT c_custkey, damaged, repaired, concat_ws(',', plain, CASE WHEN repaired IS DISTINCT FROM plain THEN repaired END) AS variants FROM s",
     "q14_url_digits": "SELECT page_id, unnest(regexp_extract_all(url, '([0-9]{2,4})', 1)) AS run FROM pages",
-    "q15_fuzzy_substring": "WITH w AS (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY 1), k AS (SELECT w, n, regexp_replace(translate(lower(w), '|1l', 'iii'), '[^a-z]', '', 'g') AS t FROM w WHERE len(w) BETWEEN 5 AND 14 AND regexp_matches(w, '^[A-Za-z|1]+$')) SELECT w, n FROM k WHERE contains(t, 'worthless') OR EXISTS (SELECT 1 FROM range(1, 15) s(i), range(8, 11) z(m) WHERE i + m - 1 <= len(t) AND levenshtein(substr(t, i, m), 'worthless') <= 1)",
+    "q15_fuzzy_substring": "WITH w AS (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY 1), k AS (SELECT w, n, regexp_replace(translate(lower(w), '|1l', 'iii'), '[^a-z]', '', 'g') AS t FROM w), z AS (SELECT unnest([8, 9, 10]) AS m), s AS (SELECT DISTINCT w FROM (SELECT w, t, m, unnest(range(1, len(t) - m + 2)) AS i FROM k, z) WHERE levenshtein(substr(t, i, m), 'worthless') <= 1) SELECT w, n FROM k WHERE w IN (SELECT w FROM s)",
     "q16_status_rollup": "WITH s AS (SELECT doc_id % 5 AS job_id, CASE WHEN toxic = 1 THEN 'error' WHEN quality = 1 THEN 'ok' ELSE 'unmatched' END AS status FROM labels) SELECT job_id, count(*) AS processed_files, count(*) FILTER (WHERE status = 'ok') AS matched_files, count(*) FILTER (WHERE status <> 'ok') AS unmatched_files FROM s GROUP BY 1",
     "q17_pair_selection": "WITH s AS (SELECT s_nationkey, s_suppkey, round(s_acctbal * 100)::BIGINT AS cents FROM supplier) SELECT a.s_nationkey, a.s_suppkey AS first, b.s_suppkey AS second, abs(a.cents - b.cents) AS gap FROM s a JOIN s b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey QUALIFY row_number() OVER (PARTITION BY a.s_nationkey ORDER BY abs(a.cents - b.cents), a.s_suppkey, b.s_suppkey) = 1",
     "q18_suffix_names": "WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) SELECT o_orderkey, o_custkey || CASE WHEN n > 1 THEN '_' || n ELSE '' END || '.jpg' AS output_name FROM r",
@@ -305,24 +308,24 @@ SQL = {
     "q26_semi_request": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "q27_durations": "SELECT o_orderkey, epoch_ms(min(l_shipdate)) - epoch_ms(o_orderdate) AS duration_ms FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderdate",
     "q28_except_seen": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
-    "q29_not_covered": """WITH h(f, x) AS (VALUES ('A', 10.0::DOUBLE), ('N', 20.0::DOUBLE), ('R', 30.0::DOUBLE)), i AS (SELECT l_orderkey, l_returnflag AS image_id, l_quantity AS q, l_discount * 100 AS p FROM lineitem WHERE l_linenumber = 1)
-        SELECT l_orderkey, image_id FROM i WHERE NOT EXISTS (SELECT 1 FROM h WHERE f = image_id AND greatest(0.0::DOUBLE, least(q + 4, x + 9) - greatest(q, x)) * greatest(0.0::DOUBLE, least(p + 4, 9.0::DOUBLE) - greatest(p, 0.0::DOUBLE)) / ((q + 4 - q) * (p + 4 - p)) >= 0.75::DOUBLE)""",
+    "q29_not_covered": """WITH h(f, x) AS (VALUES ('A', 10.0::DOUBLE), ('N', 20.0::DOUBLE), ('R', 30.0::DOUBLE)), i AS (SELECT l_orderkey, l_linenumber, l_returnflag AS image_id, l_quantity AS q, l_discount * 100 AS p FROM lineitem)
+        SELECT l_orderkey, l_linenumber, image_id FROM i WHERE NOT EXISTS (SELECT 1 FROM h WHERE f = image_id AND greatest(0.0::DOUBLE, least(q + 4, x + 9) - greatest(q, x)) * greatest(0.0::DOUBLE, least(p + 4, 9.0::DOUBLE) - greatest(p, 0.0::DOUBLE)) / ((q + 4 - q) * (p + 4 - p)) >= 0.75::DOUBLE)""",
     "q30_position_scores": """WITH b AS (SELECT l_quantity AS x0, l_discount * 1000 AS y0, l_quantity + 5 AS x1, l_discount * 1000 + l_tax * 100 AS y1 FROM lineitem)
         SELECT (CASE WHEN (y0 + y1) / 2 <= 100 * 0.22::DOUBLE THEN 30.0 WHEN (y0 + y1) / 2 <= 100 * 0.34::DOUBLE THEN 12.0 ELSE 0.0 END + CASE WHEN (x0 + x1) / 2 >= 60 * 0.38::DOUBLE THEN 12.0 ELSE 0.0 END + CASE WHEN y1 - y0 >= 4.0::DOUBLE * 1.35::DOUBLE THEN 8.0 ELSE 0.0 END)::DOUBLE AS score, count(*) AS n FROM b GROUP BY 1""",
-    "q31_page_matches": """WITH o AS (SELECT o_orderkey, lpad((o_orderkey + 300000000)::VARCHAR, 9, '0') AS k FROM orders WHERE o_orderkey % 10 = 0), m AS (SELECT k AS id FROM o WHERE o_orderkey % 70 <> 0),
+    "q31_page_matches": """WITH o AS (SELECT o_orderkey, lpad((o_orderkey + 300000000)::VARCHAR, 9, '0') AS k FROM orders), m AS (SELECT k AS id FROM o WHERE o_orderkey % 70 <> 0),
         exact AS (SELECT 'p' || o_orderkey AS image_id, k AS id, 0 AS distance, CASE WHEN o_orderkey % 30 = 0 THEN 'ocr_fragments' ELSE 'ocr' END AS source FROM o WHERE o_orderkey % 70 <> 0)
         SELECT * FROM exact UNION ALL
         SELECT 'p' || a.o_orderkey, m.id, levenshtein(a.k, m.id)::INT, 'ocr_fuzzy' FROM o a JOIN m ON levenshtein(a.k, m.id) = 1 WHERE a.o_orderkey % 70 = 0 QUALIFY row_number() OVER (PARTITION BY a.o_orderkey ORDER BY m.id) = 1""",
     "q32_corrections": None,
     "q33_page_results": None,
-    "q34_anchors": """SELECT 'p' || o_orderkey AS image_id, a.anchor_ord, a.words, a.x0 FROM orders, (VALUES (0, 'ACTUAL', 200.0::DOUBLE), (1, 'CHARGED', 320.0::DOUBLE)) a(anchor_ord, words, x0) WHERE o_orderkey % 10 = 0""",
-    "q35_regions": """SELECT 'p' || o_orderkey AS image_id, a.region_ord, (o_totalprice % 1000)::DECIMAL(7,2)::VARCHAR AS original_text, a.kind FROM orders, (VALUES (0, 'actual'), (1, 'charged')) a(region_ord, kind) WHERE o_orderkey % 10 = 0""",
+    "q34_anchors": """SELECT 'p' || o_orderkey AS image_id, a.anchor_ord, a.words, a.x0 FROM orders, (VALUES (0, 'ACTUAL', 200.0::DOUBLE), (1, 'CHARGED', 320.0::DOUBLE)) a(anchor_ord, words, x0)""",
+    "q35_regions": """SELECT 'p' || o_orderkey AS image_id, a.region_ord, (o_totalprice % 1000)::DECIMAL(7,2)::VARCHAR AS original_text, a.kind FROM orders, (VALUES (0, 'actual'), (1, 'charged')) a(region_ord, kind)""",
 }
 
-SQL["q32_corrections"] = f"""WITH m AS ({SQL["q31_page_matches"]}), o AS (SELECT o_orderkey, o_totalprice, lpad((o_orderkey + 300000000)::VARCHAR, 9, '0') AS k FROM orders WHERE o_orderkey % 10 = 0)
+SQL["q32_corrections"] = f"""WITH m AS ({SQL["q31_page_matches"]}), o AS (SELECT o_orderkey, o_totalprice, lpad((o_orderkey + 300000000)::VARCHAR, 9, '0') AS k FROM orders)
     SELECT m.image_id, m.id AS shipment_id, v.kind, (p.o_totalprice % 1000)::DECIMAL(7,2)::VARCHAR AS original_text, printf('%.2f', round(w.o_totalprice / 1000, 1)) AS new_text, round(w.o_totalprice / 1000, 1) AS new_weight
     FROM m JOIN o p ON m.image_id = 'p' || p.o_orderkey JOIN o w ON m.id = w.k, (VALUES ('actual'), ('charged')) v(kind)"""
-SQL["q33_page_results"] = f"""WITH m AS ({SQL["q31_page_matches"]}) SELECT CASE WHEN m.id IS NULL THEN 'unmatched' ELSE 'ok' END AS status, count(*) AS n FROM orders LEFT JOIN m ON m.image_id = 'p' || o_orderkey WHERE o_orderkey % 10 = 0 GROUP BY 1"""
+SQL["q33_page_results"] = f"""WITH m AS ({SQL["q31_page_matches"]}) SELECT CASE WHEN m.id IS NULL THEN 'unmatched' ELSE 'ok' END AS status, count(*) AS n FROM orders LEFT JOIN m ON m.image_id = 'p' || o_orderkey GROUP BY 1"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(
     zip(
