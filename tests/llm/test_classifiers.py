@@ -94,3 +94,47 @@ def test_copies_of_a_toxic_text_hide_no_insult(docs, labels):
     out = toxicity.classify(docs(rows), labels([(i, 1, int(i < 400)) for i, _ in rows])).collect()
     assert [r["doc_id"] for r in out if r["predicted"] != int(r["doc_id"] < 400)] == []
     assert all("vermin" in r["evidence"] for r in out if r["doc_id"] < 400)
+
+
+def test_quality_scores_against_brute_force(docs, labels, odd):
+    """Every document's score from all its cosines, one text at a time, in double precision."""
+    rng = random.Random(9)
+    rows = [(k, prose(rng, rng.randrange(8, 60)) if k % 3 else junk(rng, rng.randrange(4, 40))) for k in range(240)] + [(1000 + k, t) for k, (_, t) in enumerate(odd)]
+    rows += [(2000, rows[5][1]), (2000, rows[5][1])]  # ties with a labelled text
+    marks = labels([(k, int(bool(k % 3)), 0) for k in range(240)])
+    frame = docs(rows)
+    model = quality.fit(frame, marks)
+    got = {}
+    for r in quality.classify(frame, marks).collect():
+        got.setdefault(r["doc_id"], []).append(r["score"])
+    import pyarrow as pa
+
+    from tidemark.llm.textvec import blocks
+
+    for i, t in rows:
+        (block,) = blocks(pa.array([t], pa.string()))
+        _, column, count = quality.terms(block)
+        x = np.zeros(quality.TERMS)
+        x[column] = (1 + np.log(count)) * model.idf[column]
+        z = x @ model.basis
+        if np.linalg.norm(z) < 1e-9:
+            want = model.prior
+        else:
+            z /= np.linalg.norm(z)
+            cosine = np.array([float(np.dot(z, row)) for row in model.latent.astype(float)])
+            near = np.argsort(-cosine, kind="stable")[: quality.NEIGHBOURS]
+            weight = np.clip(cosine[near], 0, 1) ** quality.POWER
+            want = float((weight * model.labels[near]).sum() / weight.sum()) if weight.sum() else model.prior
+        assert all(abs(s - want) < 2e-2 for s in got[i]), (i, got[i], want)  # float32 cosines may order near ties otherwise
+    assert got[2000][0] == got[2000][1] == got[5][0]
+
+
+def test_extra_columns_and_empty_tables_of_the_quality_stage(docs, labels):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(10)
+    frame = docs([(k, prose(rng, 20) if k % 2 else junk(rng, 20)) for k in range(60)]).withColumn("_quality_score", F.lit("mine")).withColumn("SCORE", F.lit(7))
+    marks = labels([(k, k % 2, 0) for k in range(60)])
+    kept = quality.keep_good(frame, marks)
+    assert kept.columns == frame.columns and {r["_quality_score"] for r in kept.collect()} == {"mine"}
+    assert quality.keep_good(docs([]), marks).collect() == []

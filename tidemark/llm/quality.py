@@ -169,7 +169,7 @@ def score(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
             got = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(lean(run), schema)
+    return docs.mapInArrow(lean(run), schema), name
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
