@@ -70,4 +70,37 @@ class RasterConfig:
     strong: float = 0.45
 
 
+@dataclass(frozen=True)
+class PageConfig:
+    """Distances of the label family's table that the page rules go by, as shares of the page. Fixed values."""
+
+    #: A column's step from ACTUAL to CHARGED, by headers, by values, by the goods column.
+    step_low: float = 0.06
+    step_high: float = 0.17
+    step_drift: float = 0.025
+    pair_low: float = 0.07
+    pair_high: float = 0.16
+    goods_step_low: float = 0.055
+    goods_step_high: float = 0.18
+    #: Where the ACTUAL value of a pair without headers stands.
+    pair_from: float = 0.15
+    pair_to: float = 0.42
+    #: The table's part of the page.
+    table_right: float = 0.62
+    header_right: float = 0.68
+    #: How far a value may stand from its header's left edge, and how wide it may be.
+    off_header: float = 0.035
+    before_header: float = 0.01
+    value_width: float = 0.09
+    safe_width: float = 0.055
+    cell_width: float = 0.06
+    least_cell: float = 0.045
+    #: Level values, and the height of a line of print.
+    level: float = 0.025
+    level_px: float = 12.0
+    line: float = 0.022
+    line_px: float = 12.0
+
+
+PAGE = PageConfig()
 MATCH, INTAKE, RASTER = MatchConfig(), IntakeConfig(), RasterConfig()

@@ -6,6 +6,8 @@ words, so a task sees one page at a time and memory is bounded by the largest pa
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
 from tidemark.config import MATCH, MatchConfig
@@ -15,6 +17,10 @@ from tidemark.operators.boxes import Anchor, Box, Region, Word, hull
 from tidemark.operators.pages import by_page
 
 
+#: The characters of a number's pieces.
+NUMBER_MARKS = re.compile(r"[0-9.,:;|_-]+")
+
+
 def header_halves(words: list[Word]) -> set[int]:
     """Places of neighbours on a line that together spell the header."""
     short = [(w, W.header_text(w.text)) for w in words]
@@ -137,6 +143,35 @@ def largest_row(regions: list[Region], page_height: float) -> list[Region]:
     return min(rows, key=lambda row: (-len(row), row[0].box.y0))
 
 
+def value_fragments(words: list[Word], value: Region) -> tuple[list[Word], list[Word]]:
+    """What stands on a value's row and belongs to it: pieces of the number, and signs read before it.
+
+    Pieces have digits and number marks only. Signs are up to four characters without digits, no words, right
+    before the first piece. Both stay within the value's cell.
+    """
+    box = value.box
+    cell = value.cell or (box.x0 - box.height, box.x1 + 5 * box.height)
+    pad = max(8.0, 1.35 * box.height, 0.55 * box.width)
+    texts = [(w, w.text.strip(), abs(w.box.mid_y - box.mid_y)) for w in words]
+    low, high = max(cell[0], box.x0 - pad), min(cell[1], box.x1 + pad)
+    pieces = [w for w, t, off in texts if NUMBER_MARKS.fullmatch(t) and any("0" <= c <= "9" for c in t) and low < w.box.mid_x < high and off <= max(5.0, 0.8 * box.height)]
+    left = min([box.x0, *(w.box.x0 for w in pieces)])
+    reach = max(1.8 * box.height, 0.9 * box.width, 20.0)
+    is_sign = lambda t: 1 <= len(t) <= 4 and not re.search("[A-Za-z]{2}|[0-9]", t)
+    signs = [w for w, t, off in texts if is_sign(t) and off <= max(5.0, 0.85 * box.height) and max(cell[0], left - reach) <= w.box.x0 and w.box.x1 <= left + max(8.0, 0.7 * box.height)]
+    return pieces, signs
+
+
+def fragments(words: DataFrame, images: DataFrame, config: MatchConfig = MATCH) -> DataFrame:
+    """Of each value cell the words that make up its number, and the signs before it."""
+    def rule(page: list[dict]) -> list[tuple]:
+        own = page_words(page)
+        found = find_values(own, find_anchors(own), float(page[0]["height"]), config)
+        return [(page[0]["image_id"], k, *([w.text for w in part] for part in value_fragments(own, r))) for k, r in enumerate(found)]
+
+    return by_page(flat_words(words, images), rule, "image_id string, region_ord int, pieces array<string>, signs array<string>")
+
+
 def page_words(page: list[dict]) -> list[Word]:
     """Words of one page's rows."""
     return [Word(r["word_ord"], r["text"] or "", float(r["confidence"] or 0), Box(r["x0"], r["y0"], r["x1"], r["y1"])) for r in page]

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.config import MATCH, MatchConfig
+from tidemark.config import MATCH, PAGE, MatchConfig
 from tidemark.functions import numbers, text
 from tidemark.functions import words as W
 from tidemark.operators import identify, layout, raster
@@ -55,6 +55,14 @@ class Page:
         """Lower edge of the nearest header above a box; 0 without one."""
         return max((a.box.y1 for a in self.anchors if a.box.y1 < box.y0), default=0.0)
 
+    def level(self, y: float, other: float) -> bool:
+        return abs(y - other) <= max(PAGE.level_px, PAGE.level * self.height)
+
+    def qualifier(self, kind: str | None) -> Word | None:
+        """The surest word that names a column."""
+        token = W.is_charged_token if kind == "charged" else W.is_actual_token
+        return max((w for w in self.words if token(w.text) and w.box.x0 < PAGE.header_right * self.width), key=lambda w: w.confidence, default=None)
+
     def goods_to_the_right(self, region: Region) -> bool:
         """Whether SAID TO CONTAIN stands right after a value."""
         near = [w for w in self.words if W.qualifier_text(w.text) in ("said", "contain", "to") and 0 < w.box.x0 - region.box.x0 <= 0.22 * self.width and abs(w.box.mid_y - region.box.mid_y) <= 0.13 * self.height]
@@ -135,6 +143,15 @@ def table_cells(p: Page) -> None:
             p.regions = found
 
 
+def table_pair(p: Page) -> None:
+    """A lone value beside a CHARGED header: the table's two cells, if they stand on the value's row."""
+    if p.grey is None or len(p.regions) != 1 or not p.has_header(W.is_charged_token):
+        return
+    own, found = p.regions[0], raster.cells_of_table(p.grey, p.anchors)
+    if len(found) == 2 and p.level(own.box.mid_y, sum(r.box.mid_y for r in found) / 2):
+        p.regions, p.expected = [r._replace(text=own.text) for r in found], 2
+
+
 def equal_sibling(p: Page) -> None:
     """The same number again, one column to the right of a lone value, is the CHARGED one."""
     if len(p.regions) != 1 or not p.has_header(W.is_charged_token) or len(p.regions[0].digits) < 3:
@@ -174,12 +191,29 @@ def missing_partner(p: Page) -> None:
     if len(p.regions) != 1 or p.expected != 2:
         return
     own = p.regions[0]
-    partner = raster.sibling_cell(p.grey, own) if p.grey is not None else None
-    partner = partner or by_header_distance(p, own)
+    options = [raster.sibling_cell(p.grey, own) if p.grey is not None else None, by_header_distance(p, own)]
+    partner = next((r for r in options if r and is_headed(p, own, r)), None)
     if partner:
         p.regions = sorted([own, partner], key=lambda r: r.box.x0)
 
 
+def is_headed(p: Page, own: Region, partner: Region) -> bool:
+    """Whether something heads a partner's column, and not the goods: a weight header, or any word of three letters."""
+    if not p.words:
+        return True
+    apart = abs(partner.box.mid_x - own.box.mid_x)
+    if apart < 0.035 * p.width:
+        return False
+    head = min(p.anchors, key=lambda a: abs(a.box.mid_x - own.box.mid_x), default=None)
+    top = (head.box.y0 if head else own.box.y0 - 0.08 * p.height) - 0.025 * p.height
+    bottom = own.box.y0 + max(3, 0.008 * p.height)
+    over = lambda b: abs(b.mid_x - partner.box.mid_x) <= 0.48 * apart and top <= b.mid_y <= bottom
+    above = [W.qualifier_text(w.text) for w in p.words if over(w.box)]
+    if any(re.search("said|contain|product|description|item", t) for t in above):
+        return False
+    return any(over(a.box) for a in p.anchors) or any(len(t) >= 3 for t in above)
+
+
 def by_header_distance(p: Page, own: Region) -> Region | None:
     """Shift a value as its header is apart from the other one on the same line."""
     above = [a for a in p.anchors if a.box.y1 <= own.box.y0 + 2 and a.box.overlap_x(own.box) > 0]
@@ -226,6 +260,88 @@ def whole_number(p: Page) -> None:
     p.regions = [wider(r) for r in p.regions]
 
 
+def one_line_high(p: Page) -> None:
+    """A number's box is no higher than a line of print, about its middle."""
+    def cut_to(r: Region) -> Region:
+        safe = max(PAGE.line_px, PAGE.line * p.height)
+        if len(r.digits) < 2 or r.box.height <= safe:
+            return r
+        return r._replace(box=r.box._replace(y0=max(0, r.box.mid_y - safe / 2), y1=min(p.height, r.box.mid_y + safe / 2)))
+
+    p.regions = [cut_to(r) for r in p.regions]
+
+
+def spaced_like_headers(p: Page) -> None:
+    """Of two values the right one is CHARGED, and as far from the left one as the two header words are apart."""
+    if len(p.regions) != 2:
+        return
+    heads = sorted((w for w in p.words if W.is_actual_token(w.text) and w.box.mid_x < PAGE.table_right * p.width), key=lambda w: (w.box.y0, w.box.x0))
+    others = [w for w in p.words if "charg" in W.qualifier_text(w.text) and heads and w.box.x0 - heads[0].box.x0 >= PAGE.pair_low * p.width]
+    if not others:
+        return
+    # a column is about a tenth of the page
+    step = min((w.box.x0 - heads[0].box.x0 for w in others), key=lambda d: abs(d - 0.105 * p.width))
+    left, right = sorted(p.regions, key=lambda r: r.box.x0)
+    if PAGE.step_low * p.width <= step <= PAGE.step_high * p.width and abs(right.box.x0 - left.box.x0 - step) > PAGE.step_drift * p.width:
+        right = right._replace(box=left.box.shift(step), cell=None)
+    p.regions = [left._replace(kind="actual"), right._replace(kind="charged")]
+
+
+def inherit_cells(p: Page) -> None:
+    """Values take the bounds of the printed cell they stand in; a single one ends where the goods begin."""
+    proven = [r.cell for r in (raster.cells_under_headers(p.grey, p.anchors, p.words) if p.grey is not None else []) if r.cell]
+    p.regions = [r if r.cell else r._replace(cell=next((c for c in proven if c[0] < r.box.mid_x < c[1]), None)) for r in p.regions]
+    if p.expected == 1 and len(p.regions) == 1:
+        own = p.regions[0]
+        after = [w.box.x0 for w in p.words if "contain" in W.qualifier_text(w.text) and w.box.x0 > own.box.x1]
+        if after:
+            left, right = own.cell[0] if own.cell else max(0, own.box.x0 - 0.25 * own.box.width), min(after) - max(2, 0.003 * p.width)
+            if right - left >= PAGE.pair_low * p.width and right <= PAGE.table_right * p.width:
+                p.regions = [own._replace(cell=(left, right))]
+
+
+def actual_before_charged(p: Page) -> None:
+    """CHARGED never stands alone: ACTUAL is one column to the left, as wide as the one from CHARGED to the goods."""
+    if len(p.regions) != 1 or p.regions[0].kind != "charged":
+        return
+    own = p.regions[0]
+    goods = [w.box.x0 for w in p.words if W.qualifier_text(w.text) in ("said", "contain") and w.box.x0 > own.box.x0]
+    step = min(goods, default=own.box.x0) - own.box.x0
+    if PAGE.goods_step_low * p.width <= step <= PAGE.goods_step_high * p.width:
+        p.regions, p.expected = [Region(own.box.shift(-step), "", "inferred ACTUAL WEIGHT from CHARGED cell width", "actual"), own], 2
+
+
+def aligned_decimals(p: Page) -> None:
+    """Two equal decimals a column apart on the value's row are the pair, without any header.
+
+    A rule read as a leading 1 is forgiven where the word that has it was read badly.
+    """
+    if len(p.regions) != 1 or any("aligned" in r.anchor_text for r in p.regions):
+        return
+    own = p.regions[0]
+    read = [(w, m[0].replace(",", ".")) for w in p.words if (m := re.search(r"[0-9]{1,6}[.,][0-9]{1,3}", w.text))]
+    near = [x for x in read if abs(x[0].box.mid_x - own.box.mid_x) <= 0.05 * p.width and p.level(x[0].box.mid_y, own.box.mid_y)]
+    if not near:
+        return
+    source = min(near, key=lambda x: abs(x[0].box.mid_x - own.box.mid_x))
+    number = lambda x: re.sub(r"\D", "", x[1])
+    smudged = lambda x, y: number(x) == "1" + number(y) and x[0].confidence < MATCH.min_confidence
+
+    def is_twin(x: tuple[Word, str]) -> bool:
+        same = number(x) == number(source) or smudged(x, source) or smudged(source, x)
+        apart = abs(x[0].box.mid_x - source[0].box.mid_x)
+        return x is not source and same and PAGE.pair_low * p.width <= apart <= PAGE.pair_high * p.width and p.level(x[0].box.mid_y, source[0].box.mid_y)
+
+    twin = next((x for x in read if is_twin(x)), None)
+    if twin is None or len(number(source)) < 3 or not PAGE.pair_from * p.width <= source[0].box.mid_x <= PAGE.pair_to * p.width:
+        return
+    left, right = sorted((source, twin), key=lambda x: x[0].box.x0)
+    step = right[0].box.mid_x - left[0].box.mid_x
+    edge = max(0, left[0].box.x0 - max(3, 0.4 * max(6, min(left[0].box.height, right[0].box.height))))
+    p.regions = [Region(x[0].box, x[1], f"aligned {k.upper()} WEIGHT value", k, (edge + n * step, edge + (n + 1) * step)) for n, (x, k) in enumerate(((left, "actual"), (right, "charged")))]
+    p.expected = 2
+
+
 def before_goods(p: Page) -> None:
     """Nothing right of the goods column's edge is a weight."""
     edge = p.goods_left()
@@ -253,6 +369,81 @@ def not_in_one_cell(p: Page) -> None:
         p.regions = [max(p.regions, key=evidence)]
 
 
+def under_own_header(p: Page) -> None:
+    """A box that begins before its header, or far from it, goes back under it; what was read before it is not its text."""
+    def snapped(r: Region) -> Region:
+        head = p.qualifier(r.kind)
+        if head is None:
+            return r
+        due = head.box.x0 + 0.02 * head.box.width
+        before = r.box.x0 < head.box.x0 - max(3, PAGE.before_header * p.width)
+        if not before and abs(r.box.x0 - due) <= PAGE.off_header * p.width and r.box.width <= PAGE.value_width * p.width:
+            return r
+        box = r.box._replace(x0=due, x1=due + min(max(8, r.box.width), PAGE.safe_width * p.width))
+        return r._replace(box=box, text="" if before else r.text, anchor_text=f"{r.anchor_text} corrected under header" if before else r.anchor_text)
+
+    p.regions = [snapped(r) for r in p.regions]
+
+
+def own_cell(p: Page) -> None:
+    """Values stay within their column: from the left of its header to the next header, or to the goods."""
+    goods = p.goods_left()
+
+    def held(r: Region) -> Region:
+        head, after = p.qualifier(r.kind), p.qualifier("charged") if r.kind == "actual" else None
+        cell = r.cell
+        if head is not None:
+            inset = max(max(2, min(6, 0.08 * head.box.width)), 0.28 * head.box.width)
+            left = cell[0] if cell and cell[0] < head.box.mid_x < cell[1] else max(0, head.box.x0 - inset)
+            ends = [x for x in (after.box.x0 - 3 if after else None, goods - max(2, 0.003 * p.width) if goods else None, cell[1] if cell else None) if x and x > left]
+            if ends and ends[0] - left >= PAGE.least_cell * p.width:
+                cell = (left, ends[0])
+        if cell is None:
+            return r
+        guard = max(3, min(6, 0.22 * max(8, r.box.height)))
+        low, high = cell[0] + guard, cell[1] - guard
+        if high <= low + 4:
+            return r._replace(cell=cell)
+        wide = min(max(10, r.box.width), max(10, high - low), PAGE.cell_width * p.width)
+        x0 = max(low, min(r.box.x0, high - wide))
+        return r._replace(box=r.box._replace(x0=x0, x1=min(high, x0 + wide)), cell=cell)
+
+    p.regions = [held(r) for r in p.regions]
+
+
+def sibling_geometry(p: Page) -> None:
+    """Beside a value that was read, one that wasn't takes its row and width, a header step away."""
+    heads = p.qualifier("actual"), p.qualifier("charged")
+    if len(p.regions) != 2 or None in heads:
+        return
+    step = heads[1].box.x0 - heads[0].box.x0
+    by = {r.kind: r for r in p.regions}
+    sure = lambda r: bool(re.fullmatch(r"[0-9]{2,6}([.,][0-9]{1,3})?", r.text.strip()))
+    if set(by) != {"actual", "charged"} or not PAGE.goods_step_low * p.width <= abs(step) <= PAGE.goods_step_high * p.width or sure(by["actual"]) == sure(by["charged"]):
+        return
+    known, other, shift = (by["actual"], by["charged"], step) if sure(by["actual"]) else (by["charged"], by["actual"], -step)
+    x0 = known.box.x0 + shift
+    if other.cell:
+        x0 = max(other.cell[0] + 1, min(x0, other.cell[1] - known.box.width - 2))
+    moved = other._replace(box=known.box._replace(x0=x0, x1=x0 + known.box.width))
+    p.regions = [moved if r is other else r for r in p.regions]
+
+
+def value_before_goods(p: Page) -> None:
+    """The single value of a form without CHARGED is the decimal that stands last before the goods on its row."""
+    edge = p.goods_left()
+    if len(p.regions) != 1 or edge is None or p.has_header(W.is_charged_token):
+        return
+    own = p.regions[0]
+    fits = lambda b: edge - 0.2 * p.width <= b.x0 and b.x1 < edge - 2 and 0.28 * p.height < b.mid_y < 0.68 * p.height and abs(b.mid_y - own.box.mid_y) <= 0.085 * p.height and 3 <= b.height <= max(32, 0.05 * p.height)
+    seen = [(abs(w.box.mid_y - own.box.mid_y), -w.box.x0, w, m[0].replace(",", ".")) for w in p.words if (m := re.search(r"[0-9]{1,6}[.,][0-9]{1,3}", w.text)) and fits(w.box)]
+    if seen:
+        *_, w, shown = min(seen, key=lambda x: x[:2])
+        inside = own.cell and own.cell[0] < w.box.x0 and w.box.x1 < own.cell[1]
+        left = own.cell[0] if inside else max(0, w.box.x0 - max(3, min(7, 0.45 * w.box.height)))
+        p.regions = [own._replace(box=w.box, text=shown, cell=(left, edge - max(2, 0.003 * p.width)))]
+
+
 def last_resort(p: Page) -> None:
     """By the form's known proportions, if an ACTUAL header is there or the form has one column."""
     if p.grey is None or p.regions:
@@ -271,8 +462,9 @@ def to_ink(p: Page) -> None:
 
 
 RULES: list[Callable[[Page], None]] = [
-    distinct_cells, count_columns, ruled_partner, best_pair, off_headers, structural_cells, table_cells, equal_sibling, single_cell, line_height, enough_digits, single_cell, missing_partner, off_headers, line_height,
-    one_column_before_goods, halfway_to_goods, enough_digits, whole_number, last_resort, before_goods, one_of_each_kind, not_in_one_cell, to_ink,
+    distinct_cells, count_columns, ruled_partner, best_pair, off_headers, structural_cells, table_cells, table_pair, equal_sibling, single_cell, line_height, enough_digits, single_cell, missing_partner,
+    off_headers, line_height, one_column_before_goods, halfway_to_goods, enough_digits, one_line_high, whole_number, spaced_like_headers, inherit_cells, actual_before_charged, aligned_decimals, last_resort,
+    aligned_decimals, before_goods, one_of_each_kind, not_in_one_cell, under_own_header, own_cell, sibling_geometry, value_before_goods, to_ink,
 ]
 
 

@@ -170,9 +170,18 @@ def band_join(spark, d):
     return spatial.band_join(s, c, "a", "b", 0.5).select("s_suppkey", "c_custkey")
 
 
+#: Words of headers and words one letter from them.
+HEADERS = ("WEIGHT", "weight(kg)", "FREIGHT", "ACTUAL", "xactual", "CHARGED", "Chargeable", "charger", "chargers", "WE1GHT", "netweightkg", "goods")
+
+
 def header_words(spark, d):
-    """Which of the documents' words would head a weight column or qualify one."""
-    words = _t(spark, d, "documents").select(F.explode(F.split("text", r"\s+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    """Which words would head a weight column or qualify one: the documents', and for each customer a header that lost or changed a letter."""
+    k = F.col("c_custkey")
+    whole, at = F.element_at(F.array(*map(F.lit, HEADERS)), (k % len(HEADERS) + 1).cast("int")), (k % 7).cast("int")
+    before, after = F.substring(whole, F.lit(1), at), F.substring(whole, at + 2, F.lit(20))
+    damaged = F.when(k % 5 == 0, whole).when(k % 5 < 3, F.concat(before, F.chr(k % 26 + 97), after)).otherwise(F.concat(before, after))
+    seen = _t(spark, d, "documents").select(F.explode(F.split("text", r"\s+")).alias("w")).unionByName(_t(spark, d, "customer").select(damaged.alias("w")))
+    words = seen.groupBy("w").agg(F.count("*").alias("n"))
     w = F.col("w")
     kinds = words.select(w, "n", text.is_weight_header(w).alias("header"), text.is_qualifier(w).alias("qualifier"), text.is_actual_token(w).alias("actual"), text.is_charged_token(w).alias("charged"), text.column_kind(w).alias("kind"))
     return kinds.groupBy("header", "qualifier", "actual", "charged", "kind").agg(F.count("*").alias("words"), F.sum("n").alias("places"))
@@ -271,6 +280,12 @@ def regions(spark, d):
     return layout.regions(pages, images).select("image_id", "region_ord", "original_text", "kind")
 
 
+def _nearly(target: str) -> str:
+    """SQL for a stretch of column h within one edit of target."""
+    sizes = range(len(target) - 1, len(target) + 2)
+    return " OR ".join([f"contains(h, '{target}')", *(f"len(list_filter(range(1, len(h) - {m - 2}), lambda i: levenshtein(substr(h, i, {m}), '{target}') <= 1)) > 0" for m in sizes)])
+
+
 SQL = {
     "q01_exact_lookup": "SELECT c_mktsegment, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_final, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0 GROUP BY 1",
     "q02_fuzzy_lookup": "WITH a AS (SELECT c_custkey, 'S' || right(c_name, 9) AS cn FROM customer), b AS (SELECT s_suppkey, 'S' || right(s_name, 9) AS sn FROM supplier) SELECT c_custkey, s_suppkey, levenshtein(cn, sn)::INT AS distance FROM a, b WHERE levenshtein(cn, sn) <= 1",
@@ -301,7 +316,15 @@ SQL = {
     "q21_topk_ties": "SELECT o_custkey, o_orderkey, floor(o_totalprice / 50000)::INT AS score FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY floor(o_totalprice / 50000) DESC, o_orderkey) <= 3",
     "q22_spread_out": "WITH i AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, round(l_discount * 100) AS y FROM lineitem) SELECT l_orderkey, l_linenumber FROM i a WHERE NOT EXISTS (SELECT 1 FROM i b WHERE b.l_orderkey = a.l_orderkey AND b.l_linenumber < a.l_linenumber AND abs(a.x - b.x) < 4 AND abs(a.y - b.y) < 4)",
     "q23_band_join": "SELECT s_suppkey, c_custkey FROM supplier, customer WHERE abs(s_acctbal - c_acctbal) < 0.5",
-    "q24_header_words": None,
+    "q24_header_words": f"""WITH d AS (SELECT c_custkey AS k, {list(HEADERS)}[c_custkey % {len(HEADERS)} + 1] AS s, (c_custkey % 7)::INT AS a FROM customer),
+        w AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents UNION ALL
+          SELECT CASE WHEN k % 5 = 0 THEN s WHEN k % 5 < 3 THEN substr(s, 1, a) || chr((k % 26 + 97)::INT) || substr(s, a + 2) ELSE substr(s, 1, a) || substr(s, a + 2) END FROM d) GROUP BY 1),
+        t AS (SELECT w, n, regexp_replace(translate(lower(w), '|1l', 'iii'), '[^a-z]', '', 'g') AS h, regexp_replace(lower(w), '[^a-z]', '', 'g') AS q FROM w),
+        k AS (SELECT n, NOT ({_nearly("freight")}) AND (contains(lower(w), 'weight') OR {_nearly("weight")}) AS header,
+          lower(w) IN ('actual', 'charged', 'chargeable') OR (q <> '' AND NOT regexp_matches(q, '^chargers?$') AND (q = 'ctual' OR levenshtein(q, 'actual') <= 1 OR (levenshtein(q, 'charged') <= 1 AND NOT starts_with(q, 'charger')) OR levenshtein(q, 'chargeable') <= 1)) AS qualifier,
+          q IN ('actual', 'ctual') OR (len(q) <= 14 AND ends_with(q, 'actual')) AS actual, q IN ('charged', 'chargeable', 'chargd', 'chargeq', 'charget', 'cherged') AS charged,
+          CASE WHEN contains(q, 'ctual') THEN 'actual' WHEN regexp_matches(q, 'charged|chargeable|chargd') THEN 'charged' END AS kind FROM t)
+        SELECT header, qualifier, actual, charged, kind, count(*) AS words, sum(n)::BIGINT AS places FROM k GROUP BY ALL""",
     "q25_numeric_tokens": r"""WITH t AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN replace(l_extendedprice::DECIMAL(12,2)::VARCHAR, '0', 'O') ELSE l_extendedprice::DECIMAL(12,2)::VARCHAR END AS t FROM lineitem),
         k AS (SELECT t, regexp_matches(t, '^[0-9]{1,6}(\.[0-9]{1,3})?$') AS plain FROM t)
         SELECT plain, NOT plain AND len(t) BETWEEN 2 AND 10 AND regexp_matches(t, '[.,]') AND len(regexp_replace(t, '[^A-Za-z]', '', 'g')) <= 3 AS damaged, count(*) AS n, sum(CASE WHEN regexp_matches(t, '^[0-9]+(\.[0-9]+)?$') THEN t::DECIMAL(18,2) END)::DOUBLE AS total FROM k GROUP BY 1, 2""",

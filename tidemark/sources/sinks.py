@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text
 from tidemark.model import RESULTS
 from tidemark.operators.ordered import suffix_names
+from tidemark.operators.pages import by_page
 
 
 def write_results(done: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -29,14 +30,38 @@ def job(jobs: DataFrame, job_id: str) -> DataFrame:
 def output_names(done: DataFrame) -> DataFrame:
     """done (job_id, image_id, filename, shipment_id) with output_name: by id where there is one, else its own name.
 
-    Of several images with one id the second is id_2, and so on, in the order of image_id. Images without an id
+    Of several images with one id the second is id_2, and so on, in the order of image_id; a name that another
+    image has already (as an id may end in _2 itself) is passed over, so no two are equal. Images without an id
     keep their names, made distinct in the same way.
     """
     ending = F.when(text.extension(F.col("filename")) != "", F.concat(F.lit("."), text.extension(F.col("filename")))).otherwise(F.lit(".jpg"))
     plain = F.regexp_replace("filename", r"\.[^.]*$", "")
     stem = F.when(F.col("shipment_id").isNotNull(), text.safe_id_name(F.col("shipment_id"))).otherwise(plain)
-    named = done.withColumn("_stem", stem).withColumn("_ending", ending)
-    return suffix_names(named, ["job_id", "_stem", "_ending"], "image_id", F.col("_stem"), F.col("_ending")).drop("_stem", "_ending")
+    named = done.withColumn("_stem", stem).withColumn("_ending", ending).withColumn("_family", F.regexp_replace("_stem", r"(_[0-9]+)+$", ""))
+    # only stems that differ in what a number adds can take each other's names
+    family = ["job_id", "_family", "_ending"]
+    mixed = named.groupBy(*family).agg(F.min("_stem").alias("_a"), F.max("_stem").alias("_b")).filter("_a != _b").select(*family)
+    made = ["_stem", "_ending", "_family"]
+    alone = suffix_names(named.join(mixed, family, "left_anti"), ["job_id", "_stem", "_ending"], "image_id", F.col("_stem"), F.col("_ending")).drop(*made)
+    several = named.join(mixed, family, "left_semi").withColumn("_group", F.concat_ws("\0", *family))
+
+    def first_free(rows: list[dict]) -> list[tuple]:
+        taken: set[str] = set()
+        last: dict[str, int] = {}
+        out = []
+        for r in rows:
+            name, n = r["_stem"], last.get(r["_stem"], 1)
+            while name in taken:
+                n += 1
+                name = f"{r['_stem']}_{n}"
+            last[r["_stem"]] = n
+            taken.add(name)
+            out.append((r["job_id"], r["image_id"], name + r["_ending"]))
+        return out
+
+    picked = by_page(several.select("_group", "job_id", "image_id", "_stem", "_ending"), first_free, "job_id string, image_id string, output_name string", "_group", "image_id")
+    own = several.drop(*made, "_group").join(picked.withColumnsRenamed({"job_id": "_job", "image_id": "_image"}), F.col("job_id").eqNullSafe(F.col("_job")) & (F.col("image_id") == F.col("_image"))).drop("_job", "_image")
+    return alone.unionByName(own.select(*alone.columns))
 
 
 def selected(done: DataFrame, wanted: DataFrame) -> DataFrame:
