@@ -156,3 +156,44 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     stream.running_counts(source, "counts", str(tmp_path / "c2")).awaitTermination(60)
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, rollup.rollup(done).collect()))
+
+
+def jpeg(width, height, orientation=None, order="big"):
+    """The headers of a JPEG file: an Exif part if an orientation is given, a table, the frame."""
+    out = b"\xff\xd8"
+    if orientation:
+        mark = b"MM" if order == "big" else b"II"
+        entry = (0x0112).to_bytes(2, order) + (3).to_bytes(2, order) + (1).to_bytes(4, order) + orientation.to_bytes(2, order) + b"\0\0"
+        body = b"Exif\0\0" + mark + (42).to_bytes(2, order) + (8).to_bytes(4, order) + (1).to_bytes(2, order) + entry + b"\0\0\0\0"
+        out += b"\xff\xe1" + (len(body) + 2).to_bytes(2, "big") + body
+    out += b"\xff\xc4\x00\x04\x00\x00" + b"\xff\xc2\x00\x0b\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + b"\x01\x01\x11\x00"
+    return out
+
+
+def test_jpeg_sizes_and_orientation(spark):
+    files = spark.createDataFrame([("a", "a.jpg", bytearray(jpeg(640, 480))), ("b", "b.jpg", bytearray(jpeg(640, 480, 6))), ("c", "c.jpg", bytearray(jpeg(640, 480, 3, "little"))), ("d", "d.jpg", bytearray(b"text")), ("e", "e.jpg", None)], "image_id string, filename string, content binary")
+    got = {r["image_id"]: (r["width"], r["height"], r["orientation"]) for r in intake.image_meta(files).collect()}
+    assert got == {"a": (640, 480, 1), "b": (480, 640, 6), "c": (640, 480, 3), "d": (None, None, 1), "e": (None, None, 1)}
+
+
+def test_quoted_csv_and_several_sheets(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Shipment ID,Note,Weight\n7,"x, y",2.5\n8,"two\nlines",3\n')
+    rows = sheet.csv_rows(spark, str(tmp_path / "a.csv"))
+    assert kept(sheet.mapping(rows))[0] == [(2, "7", 2.5), (3, "8", 3.0)]
+    (tmp_path / "b.csv").write_text("ID,Weight\n7,1\n")
+    with pytest.raises(ValueError, match="more than one sheet"):
+        sheet.mapping(sheet.csv_rows(spark, str(tmp_path / "*.csv")))
+
+
+def test_names_never_collide(spark):
+    rows = [("j", f"{k:02d}", "p.png", i, "ok") for k, i in enumerate(["A", "A_2", "A", "A", "B", "B", "A_2", None, None])]
+    named = sinks.output_names(spark.createDataFrame(rows, "job_id string, image_id string, filename string, shipment_id string, status string"))
+    assert [r["output_name"] for r in named.orderBy("image_id").collect()] == ["A.png", "A_2.png", "A_3.png", "A_4.png", "B.png", "B_2.png", "A_2_2.png", "p.png", "p_2.png"]
+
+
+def test_copies_of_inputs(spark, tmp_path):
+    files = spark.createDataFrame([("a", bytearray(b"one")), ("b", bytearray(b"two!")), ("c", bytearray(b""))], "image_id string, content binary")
+    names = spark.createDataFrame([("a", "x/a.jpg"), ("b", "b.jpg")], "image_id string, output_name string")
+    done = sinks.copy_files(files, names, f"file://{tmp_path}/review").collect()
+    assert sorted(map(tuple, done)) == [("a.jpg", 3), ("b.jpg", 4)]
+    assert (tmp_path / "review" / "b.jpg").read_bytes() == b"two!"

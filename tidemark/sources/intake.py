@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.config import INTAKE, IntakeConfig
 from tidemark.functions import text
@@ -15,6 +16,8 @@ from tidemark.session import ship_package
 
 #: Bytes that image files begin with.
 MAGIC = {"jpg": "ffd8ff", "png": "89504e47"}
+#: A file's beginning, in which its size stands: Exif data has 64 KB at most, and may be followed by other data.
+HEADER_BYTES = 1 << 18
 
 
 def accepted(path, kinds: tuple[str, ...]):
@@ -32,18 +35,51 @@ def too_many(files: DataFrame, config: IntakeConfig = INTAKE) -> bool:
     return files.limit(config.max_files + 1).count() > config.max_files
 
 
-def png_size(content):
-    """Width and height in a PNG's header; null for other files."""
-    head = F.hex(F.substring(content, 1, 24))
-    is_png = F.lower(F.substring(head, 1, 8)) == MAGIC["png"]
-    side = lambda at: F.when(is_png, F.conv(F.substring(head, at, 8), 16, 10).cast("int"))
-    return side(33), side(41)
+def image_size(content: bytes) -> tuple[int | None, int | None, int]:
+    """(width, height, orientation) by an image file's header: PNG, or JPEG with its Exif orientation; 1 without one."""
+    if content[:4].hex() == MAGIC["png"] and len(content) >= 24:
+        return int.from_bytes(content[16:20], "big"), int.from_bytes(content[20:24], "big"), 1
+    width = height = None
+    orientation, at = 1, 2
+    if content[:3].hex() != MAGIC["jpg"]:
+        return None, None, 1
+    while at + 4 <= len(content) and content[at] == 0xFF:
+        marker, size = content[at + 1], int.from_bytes(content[at + 2 : at + 4], "big")
+        body = content[at + 4 : at + 2 + size]
+        if marker == 0xE1 and body[:6] == b"Exif\0\0":
+            orientation = exif_orientation(body[6:])
+        # frame headers; C4, C8 and CC are tables
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC) and len(body) >= 5:
+            height, width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+            break
+        at += 2 + size
+    return width, height, orientation
+
+
+def exif_orientation(tiff: bytes) -> int:
+    """The orientation tag (0x0112) of the first directory, from 1 to 8; 1 if it has none."""
+    order = {b"II": "little", b"MM": "big"}.get(tiff[:2])
+    if order is None:
+        return 1
+    number = lambda lo, n: int.from_bytes(tiff[lo : lo + n], order)
+    first = number(4, 4)
+    for k in range(number(first, 2)):
+        entry = first + 2 + 12 * k
+        if number(entry, 2) == 0x0112:
+            value = number(entry + 8, 2)
+            return value if 1 <= value <= 8 else 1
+    return 1
+
+
+@F.pandas_udf(StructType([StructField(n, IntegerType()) for n in ("width", "height", "orientation")]))
+def header_sizes(content: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([image_size(bytes(c)) if c is not None else (None, None, 1) for c in content], columns=["width", "height", "orientation"]).astype({"width": "Int32", "height": "Int32", "orientation": "Int32"})
 
 
 def image_meta(files: DataFrame) -> DataFrame:
-    """images of files: PNG sizes come from the header; others need a given size table (see ``with_sizes``)."""
-    width, height = png_size(F.col("content"))
-    return files.select("image_id", "filename", width.alias("width"), height.alias("height"), F.lit(1).alias("orientation"))
+    """images of files, by their headers, sides swapped for quarter turns; without a readable header the sizes are null (see ``with_sizes``)."""
+    ship_package(files.sparkSession)
+    return with_sizes(files, files.select("image_id", header_sizes(F.substring("content", 1, HEADER_BYTES)).alias("m")).select("image_id", "m.*"))
 
 
 def with_sizes(images: DataFrame, sizes: DataFrame) -> DataFrame:

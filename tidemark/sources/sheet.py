@@ -7,6 +7,7 @@ partitions.
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -99,7 +100,7 @@ def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def register(spark: SparkSession) -> None:
-    """Make ``spark.read.format("workbook").load(path)`` available: one local workbook as (row_number, cells)."""
+    """Make ``spark.read.format("workbook").load(path)`` available: one workbook that the driver can open, as (row_number, cells)."""
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
     class Reader(DataSourceReader):
@@ -107,11 +108,12 @@ def register(spark: SparkSession) -> None:
             self.path = path
 
         def partitions(self):
-            return [InputPartition(self.path)]
+            # planned where the driver is, which has the file; the task gets its bytes
+            with open(self.path.removeprefix("file://"), "rb") as f:
+                return [InputPartition(f.read())]
 
         def read(self, partition):
-            with open(partition.value.removeprefix("file://"), "rb") as f:
-                yield from read_cells(f.read())
+            yield from read_cells(partition.value)
 
     class Workbook(DataSource):
         @classmethod
@@ -128,9 +130,16 @@ def register(spark: SparkSession) -> None:
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(path, row_number, cells) of one small CSV file, in the order of its lines."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("place", "line"))
-    return lines.select("path", (F.col("place") + 1).alias("row_number"), F.transform(F.split("line", ",", -1), lambda c: F.when(F.trim(c) != "", F.trim(c, F.lit('" '))))) .toDF("path", "row_number", "cells")
+    """(path, row_number, cells) of small CSV files, one task each; quoted cells may hold commas and line ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = [[c.strip() or None for c in row] for row in csv.reader(io.StringIO(content))]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(range(1, len(rows) + 1), pa.int32()), pa.array(rows, pa.list_(pa.string()))], ["path", "row_number", "cells"])
+
+    ship_package(spark)
+    return spark.read.text(path, wholetext=True).select(F.input_file_name(), "value").mapInArrow(run, CELLS)
 
 
 def header_columns(cells: list[str | None]) -> tuple[int, int]:
@@ -148,8 +157,11 @@ def mapping(rows: DataFrame, config: IntakeConfig = INTAKE) -> tuple[DataFrame,
 
     Of equal ids the first stays. A weight that isn't a number never claims its id. A blank weight is 0 in the
     compatible reading and a warning in the strict one. Numbers may be written in hexadecimal, octal or binary
-    with a prefix, and true and false count as 1 and 0.
+    with a prefix, and true and false count as 1 and 0. Rows of several files are refused: row numbers and the
+    first of equal ids would mean nothing across them.
     """
+    if "path" in rows.columns and rows.select("path").distinct().limit(2).count() > 1:
+        raise ValueError("rows of more than one sheet; filter by path")
     head = rows.filter("row_number = 1").select("cells").first()
     at_id, at_weight = header_columns(list(head["cells"]) if head else [])
     raw = F.trim(F.coalesce(F.get("cells", F.lit(at_weight)), F.lit("")))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +73,27 @@ def selected(done: DataFrame, wanted: DataFrame) -> DataFrame:
     return done.join(names.distinct(), "output_name", "left_semi")
 
 
+def copy_files(files: DataFrame, names: DataFrame, folder: str) -> DataFrame:
+    """Copy the files (image_id, content) that names (image_id, output_name) lists into a folder; (output_name, length) of each.
+
+    For inputs that failed or wait for review, kept under their names. The folder is any URL that pyarrow's file
+    systems know. A task that is run again writes the same bytes to the same place. The copies are made when the
+    result is used.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(*(c.to_pylist() for c in batch.columns)):
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(c) for c in batch.column(1).to_pylist()], pa.int64())], ["output_name", "length"])
+
+    rows = files.select("image_id", "content").join(names.select("image_id", text.file_name(F.col("output_name")).alias("output_name")), "image_id")
+    return rows.select("output_name", "content").mapInArrow(run, "output_name string, length long")
+
+
 def zip_files(paths: list[str], target: str) -> int:
     """Pack files under their plain names; returns the archive's size. For a job's exports, beside the engine."""
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED, compresslevel=9) as out:
