@@ -138,3 +138,20 @@ def test_extra_columns_and_empty_tables_of_the_quality_stage(docs, labels):
     kept = quality.keep_good(frame, marks)
     assert kept.columns == frame.columns and {r["_quality_score"] for r in kept.collect()} == {"mine"}
     assert quality.keep_good(docs([]), marks).collect() == []
+
+
+def test_calibration_rises_and_is_reliable():
+    """Votes of noisy labels: the steps rise, and scores are near the shares of label 1 that they stand for; ties get one score."""
+    rng = np.random.RandomState(5)
+    rows, labels = [], []
+    for _ in range(900):
+        kind = rng.randint(6)
+        rows.append((np.array([kind]), np.array([1.0])))
+        labels.append(float(rng.random_sample() < kind / 6))
+    index = toxicity.Index([b"w%d" % k for k in range(6)], np.ones(6), np.array(labels), rows, list(range(900)), 0.0)
+    index.calibrate(rows, np.array(labels))
+    x, y = index.steps
+    assert (np.diff(x) > 0).all() and (np.diff(y) >= 0).all() and 0 <= y.min() and y.max() <= 1
+    assert sum(n for n, _, _ in index.reliability) == 900
+    got = [index.score(np.array([k]), np.array([1]))[0] for k in range(6)]
+    assert all(abs(s - np.mean([y for (c, _), y in zip(rows, labels) if c[0] == k])) < 0.25 for k, s in enumerate(got))

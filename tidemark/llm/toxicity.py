@@ -7,14 +7,15 @@ all documents. Texts are
 TF-IDF vectors over it. The sample's vectors are stored as postings in blocks of ``BLOCK`` examples with the
 largest weight of each word per block. A query visits blocks in the order of their upper bounds and stops
 when no block left can beat the k-th best cosine, so its neighbours are the exact ones. Neighbours vote with
-a weight that falls with distance; the words that a text shares with the vocabulary and the nearest examples
-are the evidence. Texts without a word of the vocabulary score as the sample's texts without one do.
+a weight that falls with distance, and the vote is calibrated by the sample's own votes, each example left out of
+its own; the words that a text shares with the vocabulary and the nearest examples are the evidence. Texts without a word of the vocabulary score as the sample's texts without one do.
 
 The sample has at most ``SAMPLE`` labelled rows, in seeded order; all else covers all rows.
 
 Defined results: null and empty texts score as texts without evidence; without labelled rows every score is
-0.0; ties between neighbours go to the smaller place in the index; repeated rows each get their row; an
-empty table gives an empty result; other columns are ignored.
+0.0; ties between neighbours go to the smaller place in the index; repeated rows each get their row; a very long
+text is one block, read whole; an empty table gives an empty result; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from tidemark.llm.textvec import ALNUM, LOWER, RunHasher, blocks, mix, run_hashe
 SAMPLE, BLOCK, NEIGHBOURS = 16000, 64, 15
 PREFIXES = range(4, 11)
 CHI_SQUARE, MIN_SHARE = 24.0, 0.4
-THRESHOLD = 0.5
+THRESHOLD, PRIOR = 0.5, 5.0
 MODULUS, HELD_OUT = 5, 0
 
 
@@ -46,8 +47,12 @@ class Index:
         self.hashes, self.order = ranked_hashes(words)
         # examples with alike leading words stand together, which makes the blocks' bounds tight
         lead = np.array([c[np.argmax(w)] for c, w in rows], int)
-        place = np.lexsort((labels, lead)) if rows else np.zeros(0, int)
-        self.labels, self.ids = labels[place], np.array([ids[k] for k in place], np.int64)
+        # in an order that labels have no part in, as ties go by it
+        place = np.lexsort((mix(np.array(ids, np.int64).view(np.uint64)), lead)) if rows else np.zeros(0, int)
+        self.labels, self.ids, self.given = labels[place], np.array([ids[k] for k in place], np.int64), place
+        #: steps of calibration, none yet: (votes, shares of label 1); examples, mean vote and share of each
+        self.steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
+        self.reliability: list[tuple[int, float, float]] = []
         sizes = np.array([len(rows[k][0]) for k in place], int)
         term = np.concatenate([rows[k][0] for k in place]) if rows else np.zeros(0, int)
         weight = np.concatenate([rows[k][1] for k in place]) if rows else np.zeros(0)
@@ -63,15 +68,15 @@ class Index:
         self.start = np.append(self.start, len(cell))
         self.found: dict[bytes, tuple[float, list[int]]] = {}
 
-    def nearest(self, columns: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples; blocks in the order of their bounds, until none can beat the k-th."""
+    def nearest(self, columns: np.ndarray, weights: np.ndarray, most: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the nearest examples; blocks in the order of their bounds, until none can beat the last of them."""
         own = [(self.first[c], self.first[c + 1], w) for c, w in zip(columns, weights)]
         bound = np.zeros(len(self.labels) // BLOCK + 1)
         for lo, hi, w in own:
             bound[self.block[lo:hi]] += w * self.largest[lo:hi]
         best, at = np.zeros(0), np.zeros(0, int)
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) >= NEIGHBOURS and bound[b] < best[NEIGHBOURS - 1] - 1e-12):
+            if bound[b] <= 0 or (len(best) >= most and bound[b] < best[most - 1] - 1e-12):
                 break
             score = np.zeros(BLOCK)
             for lo, hi, w in own:
@@ -81,7 +86,7 @@ class Index:
                     score[self.at[part] - b * BLOCK] += w * self.weight[part]
             hit = np.flatnonzero(score)
             best, at = np.concatenate([best, score[hit]]), np.concatenate([at, hit + b * BLOCK])
-            keep = np.lexsort((at, -best))[:NEIGHBOURS]
+            keep = np.lexsort((at, -best))[:most]
             best, at = best[keep], at[keep]
         return at, best
 
@@ -91,14 +96,47 @@ class Index:
         if key not in self.found:
             weights = (1 + np.log(counts)) * self.idf[columns]
             at, cosine = self.nearest(columns, weights / np.linalg.norm(weights))
-            vote = (cosine > 1e-12) / (1.05 - np.clip(cosine, 0, 1))
-            score = float((vote * self.labels[at]).sum() / vote.sum()) if vote.sum() else self.bare
+            score = self.calibrated(self.vote(at, cosine))
             if len(self.found) > 50_000:
                 self.found.clear()
             self.found[key] = score, [int(x) for x in self.ids[at[:3]]]
         return self.found[key]
 
 
+    def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
+        """Share of label 1 among neighbours, the nearer the heavier."""
+        weight = (cosine > 1e-12) / (1.05 - np.clip(cosine, 0, 1))
+        return float((weight * self.labels[at]).sum() / weight.sum()) if weight.sum() else self.bare
+
+    def calibrated(self, vote: float) -> float:
+        return float(np.interp(vote, *self.steps)) if len(self.steps[0]) else vote
+
+    def calibrate(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> None:
+        """Turn votes into shares of label 1, as the examples themselves show when each is left out of its own vote.
+
+        rows and labels in the order they were given in. Votes are put into steps whose shares rise (pooling
+        neighbours that don't); a step of n examples counts PRIOR more at its own mean vote.
+        """
+        votes = []
+        for place, (columns, weights) in enumerate(rows):
+            at, cosine = self.nearest(columns, weights, NEIGHBOURS + 1)
+            own = self.given[at] != place
+            votes.append(self.vote(at[own][:NEIGHBOURS], cosine[own][:NEIGHBOURS]))
+        # equal votes are one step from the beginning
+        level, which = np.unique(np.round(votes, 9), return_inverse=True) if votes else (np.zeros(0), np.zeros(0, int))
+        n, ones = np.bincount(which, minlength=len(level)).astype(float), np.bincount(which, labels, minlength=len(level))
+        steps: list[list[float]] = []  # sum of labels, examples, sum of votes
+        for k in range(len(level)):
+            steps.append([float(ones[k]), float(n[k]), float(level[k] * n[k])])
+            while len(steps) > 1 and steps[-2][0] * steps[-1][1] >= steps[-1][0] * steps[-2][1]:
+                last = steps.pop()
+                steps[-1] = [a + b for a, b in zip(steps[-1], last)]
+        x = np.array([v / n for _, n, v in steps])
+        y = np.array([(s + PRIOR * v / n) / (n + PRIOR) for s, n, v in steps])
+        self.steps = x, np.maximum.accumulate(y) if len(y) else y
+        self.reliability = [(int(n), round(v / n, 4), round(s / n, 4)) for s, n, v in steps]
+
+
 BEGINNING = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -230,7 +268,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
             column = np.frombuffer(c, np.int32)
             weight = (1 + np.log(np.frombuffer(m, np.int32))) * idf[column]
             full.append((doc_id, y, (column, weight / np.linalg.norm(weight))))
-    return Index(words, idf, np.array([r[1] for r in full], float), [r[2] for r in full], [r[0] for r in full], base)
+    index = Index(words, idf, np.array([r[1] for r in full], float), [r[2] for r in full], [r[0] for r in full], base)
+    index.calibrate([r[2] for r in full], np.array([r[1] for r in full], float))
+    return index
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
