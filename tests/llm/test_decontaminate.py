@@ -88,3 +88,39 @@ def test_long_items_with_deletions(docs, bench):
                 want[d, k] = e
     got = {(r["doc_id"], r["item_id"]): r["distance"] for r in find_leaks(docs(rows), bench(items)).collect()}
     assert got == want
+
+
+def test_recall_of_the_proposed_windows():
+    """Items with as many edits as are allowed, of one kind or mixed: what the walks propose and verification confirms."""
+    import pyarrow as pa
+
+    from tidemark.llm import decontaminate
+    from tidemark.llm.textvec import blocks
+
+    rng = random.Random(11)
+    for m in (14, 30, 59, 150):
+        items = [[f"i{k}w{rng.randrange(10**9)}" for _ in range(m)] for k in range(25)]
+        index = decontaminate.Items(list(range(25)), [" ".join(x) for x in items])
+        assert index.recall >= decontaminate.RECALL or index.walks == decontaminate.MOST_WALKS
+        met = 0
+        for k, x in enumerate(items):
+            for kind in range(4):
+                y = list(x)
+                for _ in range(m // 5):
+                    how, at = kind if kind < 3 else rng.randrange(3), rng.randrange(len(y))
+                    y[at : at + (how != 1)] = [f"new{rng.randrange(10**9)}"] if how < 2 else []
+                text = " ".join([*(f"a{rng.randrange(10**6)}" for _ in range(9)), *y, *(f"b{rng.randrange(10**6)}" for _ in range(40))])
+                (block,) = blocks(pa.array([text]))
+                met += any(r[1] == k for r in decontaminate.match_block(index, block))
+        assert met >= 0.97 * 100, (m, met)
+
+
+def test_short_equal_and_tied_items(docs, bench):
+    items = [(1, "Yes"), (2, "two words"), (3, "two, WORDS"), (4, "one two three four"), *((100 + k, "the very same item of eight words here") for k in range(500))]
+    rows = [(1, "say yes: two words and two words"), (2, "one two three four five"), (3, "x the very same item of eight words here y the very same item of eight words there"), (4, "twowords yesterday")]
+    found = find_leaks(docs(rows), bench(items)).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["distance"], r["start_word"], r["end_word"]) for r in found}
+    assert len(found) == len(got) == 3 + 1 + 500
+    assert got[1, 1] == (0, 1, 2) and got[1, 2] == got[1, 3] == (0, 2, 4) and got[2, 4] == (0, 0, 4)
+    assert {v for (d, _), v in got.items() if d == 3} == {(0, 1, 9)}  # the nearer of two places
+    assert sorted(r["doc_id"] for r in drop_leaks(docs(rows), bench(items)).collect()) == [1, 2, 4]

@@ -35,3 +35,53 @@ def test_labels_of_the_method(docs):
     assert got[10] == ("mit-text", 1.0)
     assert got[1] == ("apache,mit", 0.5)
     assert got[11] == got[13] == ("", 0.0)
+
+
+def test_labels_and_scores_against_brute_force(docs):
+    """Templates whole, cut, with words changed or put in between: every alignment of every template, without an index."""
+    import math
+    import random
+
+    from tidemark.llm.licenses import MIN_COVERAGE, SLACK, TEMPLATES
+
+    rng = random.Random(4)
+    filler = ["code", "the", "of", "file", "license", "public", "version", "note", "2"]
+    rows = []
+    for k in range(260):
+        t = [rng.choice(filler) for _ in range(rng.randrange(0, 12))]
+        for _ in range(rng.randrange(0, 3)):
+            own = rng.choice(TEMPLATES)[1].split()
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randrange(2)] = [rng.choice(filler)] * rng.randrange(2)
+                own = own or ["x"]
+            t += own[rng.choice([0, 0, 0, 2]) :] + [rng.choice(filler) for _ in range(rng.randrange(0, 9))]
+        rows.append((k, " ".join(t)))
+    sets = [set(t.split()) for _, t in rows]
+    idf = lambda w: math.log((1 + len(rows)) / (1 + sum(w in s for s in sets))) + 1
+    known = {w: idf(w) for _, t, _ in TEMPLATES for w in t.split()}
+
+    def holds(words, phrase):
+        phrase = phrase.split()
+        return any(words[i : i + len(phrase)] == phrase for i in range(len(words)))
+
+    want = {}
+    for i, t in rows:
+        w, found = t.split(), {}
+        for name, text, keys in TEMPLATES:
+            x = text.split()
+            anchors = {max(k.split(), key=lambda v: (known[v], v)) for k in keys}
+            for start in range(-len(x) + 1, len(w)):
+                same = [0 <= start + q < len(w) and w[start + q] == x[q] for q in range(len(x))]
+                if not any(s and x[q] in anchors for q, s in enumerate(same)):
+                    continue
+                cover = sum(known[v] for v, s in zip(x, same) if s) / sum(known[v] for v in x)
+                near = w[max(0, start - SLACK) : start + len(x) + SLACK]
+                if cover >= MIN_COVERAGE and all(holds(near, k) for k in keys):
+                    found[name] = max(cover, found.get(name, 0))
+        want[i] = found
+    assert sum(bool(f) for f in want.values()) > 60
+    for r in scan(docs(rows)).collect():
+        base = {x for x in r["base_labels"].split(",") if x}
+        assert r["labels"] == ",".join(sorted(base | set(want[r["doc_id"]]))), rows[r["doc_id"]]
+        assert abs(r["score"] - min(1.0, max([0.5 * bool(base), *want[r["doc_id"]].values()]))) < 1e-9

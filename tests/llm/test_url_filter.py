@@ -67,3 +67,9 @@ def test_components_against_union_find(spark):
     want = {x: find(x) for x in root}
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == want
+
+
+def test_ampersands_in_links(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", '<link rel="canonical" href="http://b.com/de/?p=1&amp;q=2">'), (2, "http://c.net/y", '<link rel="canonical" href="http://b.com/de/?p=1&#38;q=2">'), (3, "http://b.com/de/?p=1&q=2", "")], SCHEMA)
+    rows = judge(pages, RULES).collect()
+    assert {r["verdict"] for r in rows} == {"block"} and len({r["component"] for r in rows}) == 1

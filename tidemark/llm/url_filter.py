@@ -11,8 +11,10 @@ Only DataFrame operations run here. Rules are a list on the driver: up to ``INLI
 tested inside the projection, more of them are joined by the host's suffixes.
 
 Defined results: a null URL, or one without "://", has empty host and path, fits no rule and is allowed; an
-empty or null html gives no links; repeated rows each get their verdict; an empty table gives an empty
-result; other columns are ignored. A fragment names a place within a page, so nodes leave it out.
+empty or null html gives no links; repeated rows each get their verdict; a very long page is searched in place,
+by one regular expression; an empty table gives an empty result; other columns are ignored, whatever their
+names. A fragment names a place within a page, so nodes leave it out. Links are taken as they are written, but
+for ampersands: steps up (../) are not resolved, nor is <base>.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ INLINE_RULES = 200
 LINK_TAG = r"(?i)<(?:link|meta)\b[^>]*>"
 LINK_KIND = r"(?i)(rel\s*=\s*[\"']?\s*canonical|http-equiv\s*=\s*[\"']?\s*refresh)"
 LINK_HREF = r"(?i)(?:href\s*=\s*[\"']?|[;\"'\s]url\s*=\s*[\"']?)([^\"'>\s]+)"
+AMPERSAND = "(?i)&(amp|#38|#x26);"
 
 Rule = tuple[str, str, str]
 #: The rules of the registered query.
@@ -82,10 +85,15 @@ def with_node(df: DataFrame, url: str, name: str) -> DataFrame:
     return staged.withColumn(name, F.concat(ascii_lower(F.col("_head")), F.substring("_bare", F.length("_head") + 1, F.length("_bare")))).drop("_head", "_bare")
 
 
+def unescaped(href: Column) -> Column:
+    """A link with the ways to write & in HTML read back."""
+    return F.regexp_replace(href, AMPERSAND, "&")
+
+
 def links_of(pages: DataFrame) -> DataFrame:
     """(u, v): pages' URLs and the absolute URLs that their canonical links and refresh redirects name."""
     tags = F.filter(F.regexp_extract_all("html", F.lit(LINK_TAG), 0), lambda t: F.rlike(t, F.lit(LINK_KIND)))
-    found = pages.select("url", F.explode(tags).alias("tag")).select("url", F.regexp_extract("tag", LINK_HREF, 1).alias("href")).filter("href != '' and url is not null")
+    found = pages.select("url", F.explode(tags).alias("tag")).select("url", unescaped(F.regexp_extract("tag", LINK_HREF, 1)).alias("href")).filter("href != '' and url is not null")
     found = found.withColumn("_scheme", F.regexp_extract("url", "^[^:/?#]*", 0)).withColumn("_root", F.regexp_extract("url", "^[^#]*?://[^/?#]*", 0))
     found = found.withColumn("_folder", F.regexp_extract(F.regexp_extract("url", "^[^?#]*", 0), "^.*://.*/", 0))
     full = (
@@ -139,7 +147,7 @@ _SQL_BEST = "(SELECT {0} FROM rules r WHERE (x.host = r.h OR ends_with(x.host, '
 OP10_SQL = f"""
 WITH RECURSIVE rules(h, p, v) AS (VALUES {_SQL_RULES}),
 tags AS (SELECT url, unnest(regexp_extract_all(html, '{LINK_TAG}')) AS tag FROM pages WHERE url IS NOT NULL),
-hrefs AS (SELECT url, regexp_extract(tag, '{LINK_HREF.replace("'", "''")}', 1) AS href FROM tags WHERE regexp_matches(tag, '{LINK_KIND.replace("'", "''")}')),
+hrefs AS (SELECT url, regexp_replace(regexp_extract(tag, '{LINK_HREF.replace("'", "''")}', 1), '{AMPERSAND}', '&', 'g') AS href FROM tags WHERE regexp_matches(tag, '{LINK_KIND.replace("'", "''")}')),
 parts AS (SELECT url, href, regexp_extract(url, '^[^:/?#]*') AS scheme, regexp_extract(url, '^[^#]*?://[^/?#]*') AS root,
   regexp_extract(regexp_extract(url, '^[^?#]*'), '^.*://.*/') AS folder FROM hrefs WHERE href <> ''),
 full_ AS (SELECT url, CASE WHEN instr(href, '://') > 0 THEN href WHEN starts_with(href, '//') THEN scheme || ':' || href WHEN starts_with(href, '/') THEN root || href
