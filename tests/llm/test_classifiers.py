@@ -155,3 +155,12 @@ def test_calibration_rises_and_is_reliable():
     assert sum(n for n, _, _ in index.reliability) == 900
     got = [index.score(np.array([k]), np.array([1]))[0] for k in range(6)]
     assert all(abs(s - np.mean([y for (c, _), y in zip(rows, labels) if c[0] == k])) < 0.25 for k, s in enumerate(got))
+
+
+def test_the_sample_is_bounded_when_ids_repeat(docs, labels):
+    from tidemark.llm.labelled import sample
+    from pyspark.sql import functions as F
+
+    frame = docs([(1, f"text {k % 3}") for k in range(300)] + [(2, "other"), (3, None)])
+    got = sample(frame, labels([(1, 1, 0), (2, 0, 1), (3, 1, 1), (1, 1, 0)]), "quality", F.lit(True), 10).collect()
+    assert sorted((r["doc_id"], r["y"]) for r in got) == [(1, 1), (2, 0), (3, 1)]

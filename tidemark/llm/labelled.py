@@ -14,7 +14,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, m
     """(doc_id, y, text) of at most ``most`` labelled rows (of each label, if per_label) that may be learned from.
 
     Rows are taken in the order of a seeded hash of their id, so a rerun takes the same. Rows with a null id
-    or label take no part. The sample's ids are few by the bound, so the join broadcasts them.
+    or label take no part. The sample's ids are few by the bound, so the join broadcasts them; of several texts
+    under one id one is learned from, so the bound holds for the texts too.
     """
     rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & learn_from).dropDuplicates(["doc_id", "y"])
     rows = rows.withColumn("_h", F.xxhash64(F.col("doc_id"), F.lit(seed)))
@@ -22,4 +23,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, m
         taken = rows.filter("y = 0").orderBy("_h", "doc_id").limit(most).unionByName(rows.filter("y = 1").orderBy("_h", "doc_id").limit(most))
     else:
         taken = rows.orderBy("_h", "doc_id", "y").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(taken.select("doc_id", "y")), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(taken.select("doc_id", "y")), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
