@@ -130,9 +130,11 @@ def except_seen(df: DataFrame, seen: DataFrame, on: Sequence[str] | str) -> Data
 
 
 def spread_out(df: DataFrame, by: str, order: str, x: str, y: str, near: float = 2.0) -> DataFrame:
-    """Drop rows that an earlier row of the group is within ``near`` of, in both directions."""
-    b = df.select(F.col(by).alias("_by"), F.col(order).alias("_order"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    close = (F.abs(F.col(x) - F.col("_x")) < near) & (F.abs(F.col(y) - F.col("_y")) < near)
-    return df.join(b, (F.col(by) == F.col("_by")) & (F.col("_order") < F.col(order)) & close, "left_anti")
-
+    """Drop rows that an earlier row of the group is within ``near`` of, in both directions.
 
+    Rows meet by cells of x, so those of a large group that are far apart are never compared.
+    """
+    cell = F.floor(F.col(x) / near)
+    b = df.select(F.col(by).alias("_by"), F.col(order).alias("_order"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"))
+    close = (F.abs(F.col(x) - F.col("_x")) < near) & (F.abs(F.col(y) - F.col("_y")) < near)
+    return df.join(b, (F.col(by) == F.col("_by")) & (cell == F.col("_cell")) & (F.col("_order") < F.col(order)) & close, "left_anti")

@@ -6,23 +6,23 @@ meet by equality of cells, and the condition is tested within. No pair outside n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import top_k
 
 
-def nearest_after(left: DataFrame, right: DataFrame, by: list[str], at: str, then: str, reach: float, tie: str) -> DataFrame:
-    """Each left row with the nearest right row of its group at ``then`` in [at, at + reach]; ties by ``tie``.
+def nearest_after(left: DataFrame, right: DataFrame, by: list[str], at: str, then: str, reach: float, tie: str, key: list[str] | None = None) -> DataFrame:
+    """Each left row, told apart by key (all its columns, if none is given), with the nearest right row of its group at ``then`` in [at, at + reach]; ties by ``tie``.
 
     Columns of right other than ``by`` keep their names, so they have to differ from left's.
     """
     cell = F.floor(F.col(at) / reach)
-    starts = left.withColumn("_row", F.monotonically_increasing_id()).withColumn("_cell", F.explode(F.array(cell, cell + 1)))
+    starts = left.withColumn("_cell", F.explode(F.array(cell, cell + 1)))
     ends = right.withColumn("_cell", F.floor(F.col(then) / reach))
     gap = F.col(then) - F.col(at)
     hits = starts.join(ends, [*by, "_cell"]).withColumn("gap", gap).filter(F.col("gap").between(0, reach))
-    return top_k(hits, "_row", [F.asc("gap"), F.asc(tie)]).drop("_row", "_cell")
+    return top_k(hits, key or left.columns, [F.asc("gap"), F.asc(tie)]).drop("_cell")
 
 
 def within(points: DataFrame, bands: DataFrame, by: list[str], at: str, low: str, high: str, width: float) -> DataFrame:
@@ -47,6 +47,21 @@ def best_pair(df: DataFrame, by: str, order: str, ok: Column, rank: list[Column]
     return top_k(pairs, by, [*rank, F.asc(f"a.{order}"), F.asc(f"b.{order}")])
 
 
+def closest_pair(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """Of each group the two rows whose values are nearest, both as structs with their gap; ties to the smaller orders.
+
+    The nearest two stand side by side in the order of values, so no pairs are made: rows of a value that stands
+    several times are next to each other, and with a gap above 0 no value does.
+    """
+    w = Window.partitionBy(by).orderBy(value, order)
+    row = F.struct(*df.columns)
+    near = df.select(F.col(by), row.alias("_b"), F.lag(row).over(w).alias("_a")).filter("_a is not null")
+    first = F.col(f"_a.{order}") < F.col(f"_b.{order}")
+    near = near.select(by, F.when(first, F.col("_a")).otherwise(F.col("_b")).alias("a"), F.when(first, F.col("_b")).otherwise(F.col("_a")).alias("b"))
+    near = near.withColumn("gap", F.abs(F.col(f"a.{value}") - F.col(f"b.{value}")))
+    return top_k(near, by, [F.asc("gap"), F.asc(f"a.{order}"), F.asc(f"b.{order}")])
+
+
 def overlap_share(ax0: Column, ay0: Column, ax1: Column, ay1: Column, b: Column) -> Column:
     """Share of box a's area that box b covers."""
     w = F.greatest(F.lit(0.0), F.least(ax1, b["x1"]) - F.greatest(ax0, b["x0"]))

@@ -15,6 +15,7 @@ from tidemark.functions import numbers, text
 from tidemark.operators import identify, layout, ordered, reconcile, spatial
 from tidemark.plans import rollup as rollup_plans
 from tidemark.plans.rollup import rollup
+from tidemark.sources import sinks
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,7 +94,7 @@ def nearest_below(spark, d):
     e = _t(spark, d, "events").withColumn("day", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86_400_000_000.0))
     a = e.filter("event_type = 'error'").select("user_id", "event_id", F.col("day").alias("at"))
     b = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), F.col("day").alias("then"))
-    return spatial.nearest_after(a, b, ["user_id"], "at", "then", 10.0, "purchase_id").select("event_id", "purchase_id")
+    return spatial.nearest_after(a, b, ["user_id"], "at", "then", 10.0, "purchase_id", ["event_id"]).select("event_id", "purchase_id")
 
 
 def containment(spark, d):
@@ -129,8 +130,7 @@ def status_rollup(spark, d):
 def best_pair(spark, d):
     """Of each nation the two suppliers whose balances are closest."""
     s = _t(spark, d, "supplier").select("s_nationkey", "s_suppkey", F.round(F.col("s_acctbal") * 100).cast("long").alias("cents"))
-    gap = F.abs(F.col("a.cents") - F.col("b.cents"))
-    return spatial.best_pair(s, "s_nationkey", "s_suppkey", gap >= 0, [F.asc(gap)]).select("s_nationkey", F.col("a.s_suppkey").alias("first"), F.col("b.s_suppkey").alias("second"), gap.alias("gap"))
+    return spatial.closest_pair(s, "s_nationkey", "s_suppkey", "cents").select("s_nationkey", F.col("a.s_suppkey").alias("first"), F.col("b.s_suppkey").alias("second"), "gap")
 
 
 def suffix_names(spark, d):
@@ -195,9 +195,9 @@ def numeric_tokens(spark, d):
 
 
 def semi_request(spark, d):
-    """A request list against what exists."""
-    asked = _t(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select("o_custkey").distinct()
-    return _t(spark, d, "customer").join(asked, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
+    """A request list of names, in folders, against what exists."""
+    asked = _t(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("out/"), F.col("o_custkey").cast("string")).alias("output_name"))
+    return sinks.selected(_t(spark, d, "customer").withColumn("output_name", F.col("c_custkey").cast("string")), asked).select("c_custkey", "c_name")
 
 
 
