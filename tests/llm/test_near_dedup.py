@@ -27,7 +27,7 @@ def brute(rows, width=4, percent=80):
 
     for a in range(len(rows)):
         for b in range(a):
-            if s[a] and s[b] and 100 * len(s[a] & s[b]) >= percent * len(s[a] | s[b]):
+            if find(a) != find(b) and s[a] and s[b] and 100 * len(s[a] & s[b]) >= percent * len(s[a] | s[b]):
                 root[find(a)] = find(b)
     low = {}
     for a, (i, _) in enumerate(rows):
