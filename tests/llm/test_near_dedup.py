@@ -18,6 +18,9 @@ def sets(rows, width):
 
 def brute(rows, width=4, percent=80):
     s = sets(rows, width)
+    # sets as bits of one number each, for quick intersections
+    place = {g: k for k, g in enumerate(dict.fromkeys(g for x in s for g in x))}
+    bits = [sum(1 << place[g] for g in x) for x in s]
     root = list(range(len(rows)))
 
     def find(a):
@@ -27,8 +30,10 @@ def brute(rows, width=4, percent=80):
 
     for a in range(len(rows)):
         for b in range(a):
-            if find(a) != find(b) and s[a] and s[b] and 100 * len(s[a] & s[b]) >= percent * len(s[a] | s[b]):
-                root[find(a)] = find(b)
+            if find(a) != find(b) and s[a] and s[b]:
+                both = (bits[a] & bits[b]).bit_count()
+                if 100 * both >= percent * (len(s[a]) + len(s[b]) - both):
+                    root[find(a)] = find(b)
     low = {}
     for a, (i, _) in enumerate(rows):
         if i is not None:
