@@ -197,3 +197,15 @@ def test_copies_of_inputs(spark, tmp_path):
     done = sinks.copy_files(files, names, f"file://{tmp_path}/review").collect()
     assert sorted(map(tuple, done)) == [("a.jpg", 3), ("b.jpg", 4)]
     assert (tmp_path / "review" / "b.jpg").read_bytes() == b"two!"
+
+
+def test_a_job_reads_each_page_once(spark, monkeypatch):
+    from tests.pages import SAMPLE, SAMPLE_SIZE, images_of, mapping_of, words_of
+    from tidemark.operators import identify, reconcile
+    seen = []
+    for module in (identify, reconcile):
+        monkeypatch.setattr(module, "by_page", lambda *a, f=module.by_page, **k: seen.append(a) or f(*a, **k))
+    done = reconcile.results(words_of(spark, {"a": SAMPLE}), images_of(spark, {"a": SAMPLE_SIZE, "b": (1000, 700)}), mapping_of(spark, [("307775718", 1)]))
+    assert len(seen) == 1
+    assert "MapInArrow" not in done._jdf.queryExecution().executedPlan().toString()
+    assert {r["image_id"]: r["matched_id"] for r in done.collect()} == {"a": "307775718", "b": None}

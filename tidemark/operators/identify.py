@@ -9,23 +9,16 @@ from pyspark.sql import functions as F
 
 from tidemark.config import MATCH, MatchConfig
 from tidemark.functions import numbers, text
+from tidemark.functions import words as W
+from tidemark.operators import layout
 from tidemark.operators.ordered import keep_first, top_k
 from tidemark.operators.pages import by_page
-from tidemark.session import cut
+from tidemark.session import keep
 
 CANDIDATES = "image_id string, cand_ord int, text string, confidence double, word_ords array<int>, source string, x0 double, y0 double, x1 double, y1 double"
 _NOT_DIGIT = re.compile("[^0-9]")
 
 
-def single_candidates(words: DataFrame, config: MatchConfig = MATCH) -> DataFrame:
-    """Readings of single words as numbers, in reading order."""
-    read = words.filter(F.col("confidence") >= config.min_confidence).select("image_id", "word_ord", "confidence", "bbox", F.col("text").alias("raw"), F.posexplode(text.numeric_variants(F.col("text"))).alias("variant", "text"))
-    source = F.when(F.col("text") == text.digits(F.col("raw")), "ocr").otherwise("ocr_confusion_repair")
-    return read.filter(F.length("text") >= config.min_id_length).select(
-        "image_id", (F.col("word_ord") * 2 + F.col("variant")).cast("int").alias("cand_ord"), "text", "confidence", F.array("word_ord").alias("word_ords"), source.alias("source"), "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1"
-    )
-
-
 def chains(fragments: list[tuple[str, float, float, float, float, float, int]], longest: int) -> list[tuple[str, float, list[int], float, float, float, float]]:
     """Every prefix of every greedy chain of digit fragments (digits, confidence, x0, y0, x1, y1, ord).
 
@@ -68,17 +61,75 @@ def fragment_candidates(words: DataFrame, config: MatchConfig = MATCH, min_lengt
 BEHIND = 1 << 20
 
 
-def candidates(words: DataFrame, config: MatchConfig = MATCH) -> DataFrame:
-    merged = fragment_candidates(words, config).withColumn("cand_ord", F.col("cand_ord") + BEHIND)
-    return single_candidates(words, config).unionByName(merged)
+#: A page's readings that may be ids.
+READINGS = "array<struct<cand_ord:int,text:string,confidence:double,score:double,source:string,word_ords:array<int>>>"
+
 
+def _score(x0: float, y0: float, x1: float, y1: float, width: float | None, height: float | None, median: float) -> float:
+    """``numbers.position_score`` of one candidate."""
+    if not (width or 0) > 0 or not (height or 0) > 0:
+        return 0.0
+    mid_x, mid_y = (x0 + x1) / 2, (y0 + y1) / 2
+    return (30.0 if mid_y <= height * 0.22 else 12.0 if mid_y <= height * 0.34 else 0.0) + (12.0 if mid_x >= width * 0.38 else 0.0) + (8.0 if y1 - y0 >= median * 1.35 else 0.0)
 
-def scored(cands: DataFrame, words: DataFrame, images: DataFrame) -> DataFrame:
-    """Candidates with score: confidence and what their place adds."""
-    heights = words.select("image_id", (F.col("bbox.y1") - F.col("bbox.y0")).alias("h")).filter("h > 0").groupBy("image_id").agg(numbers.upper_median(F.collect_list("h")).alias("_median"))
-    known = cands.join(images.select("image_id", "width", "height"), "image_id", "left").join(heights, "image_id", "left")
-    place = numbers.position_score(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("width"), F.col("height"), F.coalesce("_median", F.lit(1.0)))
-    return known.withColumn("score", F.col("confidence") + place).drop("width", "height", "_median")
+
+def fragments_of(page: list[dict]) -> list[tuple[str, float, float, float, float, float, int]]:
+    """A page's fragments for chains()."""
+    read = ((W.digits(r["text"]), r) for r in page)
+    return [(d, r["confidence"], r["x0"], r["y0"], r["x1"], r["y1"], r["word_ord"]) for d, r in read if d]
+
+
+def readings(page: list[dict], chained: list[tuple], width: float | None, height: float | None, lengths: tuple[int, int], config: MatchConfig = MATCH) -> list[dict]:
+    """Candidates for a page's id: single words, then chains of fragments, the best one of each text.
+
+    lengths: of the known ids; what is longer or shorter by more than the edits allowed is near none of them.
+    """
+    low, high = max(config.min_id_length, lengths[0] - config.fuzzy_distance), lengths[1] + config.fuzzy_distance
+    tall = sorted(h for r in page if (h := r["y1"] - r["y0"]) > 0)
+    median = tall[len(tall) // 2] if tall else 1.0
+    best: dict[str, dict] = {}
+
+    def take(place: int, text: str, sure: float | None, source: str, ords: list[int], *box: float) -> None:
+        if sure is None or sure < config.min_confidence or not low <= len(text) <= high:
+            return
+        score = sure + _score(*box, width, height, median)
+        if text not in best or (-score, place) < (-best[text]["score"], best[text]["cand_ord"]):
+            best[text] = {"cand_ord": place, "text": text, "confidence": sure, "score": score, "source": source, "word_ords": ords}
+
+    for r in page:
+        plain = W.digits(r["text"])
+        for k, text in enumerate(W.numeric_variants(r["text"])):
+            take(r["word_ord"] * 2 + k, text, r["confidence"], "ocr" if text == plain else "ocr_confusion_repair", [r["word_ord"]], r["x0"], r["y0"], r["x1"], r["y1"])
+    for k, (text, sure, ords, *box) in enumerate(chained):
+        take(k + BEHIND, text, sure, "ocr_fragments" if len(ords) > 1 else "ocr", ords, *box)
+    return list(best.values())
+
+
+def header_id(page: list[dict], chained: list[tuple], width: float | None, height: float | None) -> tuple[str | None, str | None]:
+    """(id, source) of ``header_ids`` for one page."""
+    if height is None:
+        return None, None
+    seen = [(r["word_ord"], W.digits(r["text"]), r["confidence"], "image_header_ocr", r["x0"], r["y0"], r["x1"], r["y1"]) for r in page]
+    seen += [(k + BEHIND, text, sure, "image_header_fragments", *box) for k, (text, sure, _, *box) in enumerate(chained)]
+    first: dict[str, int] = {}
+    last: dict[str, tuple] = {}
+    for place, text, sure, source, x0, y0, x1, y1 in seen:
+        if 7 <= len(text) <= 12 and (y0 + y1) / 2 <= height * 0.25:
+            first.setdefault(text, place)
+            right = width is not None and (x0 + x1) / 2 >= width * 0.38
+            score = (sure or 0.0) + (35.0 if right else 0.0) + (20.0 if (y0 + y1) / 2 <= height * 0.16 else 0.0) + (18.0 if 8 <= len(text) <= 10 else 0.0) + min(15.0, y1 - y0)
+            last[text] = (-score, first[text], text, source)
+    return min(last.values())[2:] if last else (None, None)
+
+
+#: Lengths that no text has.
+NO_LENGTHS = (1 << 20, 0)
+
+
+def id_lengths(mapping: DataFrame) -> tuple[int, int]:
+    """Lengths of the shortest and the longest known id; none fits without ids."""
+    low, high = mapping.agg(F.min(F.length("id")), F.max(F.length("id"))).first()
+    return (low, high) if low is not None else NO_LENGTHS
 
 
 def exact_lookup(df: DataFrame, key: str, reference: DataFrame, id_: str) -> DataFrame:
@@ -116,24 +167,39 @@ def fuzzy_lookup(df: DataFrame, key: str, reference: DataFrame, id_: str, k: int
 
 def page_matches(words: DataFrame, images: DataFrame, mapping: DataFrame, config: MatchConfig = MATCH) -> DataFrame:
     """One match for each page: exact by its words, else by its file name, else near by its words."""
-    # used three times; chains of a page are put together once
-    cands = cut(scored(candidates(words, config), words, images))
-    ids = mapping.select(F.col("id").alias("_known"), F.col("row_number").alias("_row"))
+    lengths = id_lengths(mapping)
+
+    def rule(rows: list[dict]) -> list[tuple]:
+        sizes, _, page = layout.parts_of(rows)
+        width, height = (sizes[0]["width"], sizes[0]["height"]) if sizes else (None, None)
+        return [(rows[0]["image_id"], found)] if (found := readings(page, chains(fragments_of(page), config.max_chain_length), width, height, lengths, config)) else []
+
+    return matched(by_page(layout.page_rows(words, images), rule, f"image_id string, readings {READINGS}", order=layout.PARTS), images, mapping, lengths, config)
+
+
+def matched(pages: DataFrame, images: DataFrame, mapping: DataFrame, lengths: tuple[int, int], config: MatchConfig = MATCH) -> DataFrame:
+    """The matches of pages (image_id, readings)."""
     columns = ["image_id", "id", "distance", "confidence", "score", "source", "word_ords"]
-    exact = exact_lookup(cands, "text", ids, "_known").select("image_id", F.col("_known").alias("id"), F.lit(0).alias("distance"), "confidence", "score", "source", "word_ords", "cand_ord", "_row")
+    cands = pages.select("image_id", F.explode("readings").alias("c")).select("image_id", "c.*")
+    ids = mapping.select(F.col("id").alias("_known"), F.col("row_number").alias("_row"))
     order = [F.desc("score"), F.asc("cand_ord"), F.asc("_row")]
-    by_words = top_k(exact, "image_id", order).select(*columns)
-    named = filename_matches(images, mapping).join(by_words.select("image_id"), "image_id", "left_anti")
-    settled = by_words.unionByName(named)
-    left = cands.join(settled.select("image_id"), "image_id", "left_anti")
+    page = Window.partitionBy("image_id")
+    # a page's known readings stand first; where the first one isn't known, none is
+    tried = cands.join(ids, F.col("text") == F.col("_known"), "left")
+    tried = keep(tried.withColumn("_rank", F.row_number().over(page.orderBy(F.col("_known").isNull(), *order))).withColumn("_hit", F.max(F.col("_known").isNotNull()).over(page)))
+    by_words = tried.filter("_rank = 1 and _hit").select("image_id", F.col("_known").alias("id"), F.lit(0).alias("distance"), "confidence", "score", "source", "word_ords")
+    named = keep(filename_matches(images, mapping, lengths).join(by_words.select("image_id"), "image_id", "left_anti"))
+    left = tried.filter("not _hit").drop("_known", "_row").join(named.select("image_id"), "image_id", "left_anti")
     near = fuzzy_lookup(left, "text", ids, "_known", config.fuzzy_distance)
     near = near.select("image_id", F.col("_known").alias("id"), F.col("_distance").alias("distance"), "confidence", (F.col("score") - F.col("_distance") * config.distance_penalty).alias("score"), F.lit("ocr_fuzzy").alias("source"), "word_ords", "cand_ord", "_row")
-    return settled.unionByName(top_k(near, "image_id", order).select(*columns))
+    return by_words.unionByName(named).unionByName(top_k(near, "image_id", order).select(*columns))
 
 
-def filename_matches(images: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Known ids among the digit runs of a file name; the longest, first on ties."""
+def filename_matches(images: DataFrame, mapping: DataFrame, lengths: tuple[int, int] | None = None) -> DataFrame:
+    """Known ids among the digit runs of a file name; the longest, first on ties. lengths: of the known ids, where at hand."""
     runs = images.select("image_id", F.posexplode(text.digit_runs(text.file_name(F.col("filename")))).alias("_place", "_run"))
+    if lengths:
+        runs = runs.filter(F.length("_run").between(*lengths))
     hits = runs.join(mapping.select(F.col("id").alias("_known")), F.col("_run") == F.col("_known"))
     best = top_k(hits, "image_id", [F.desc(F.length("_run")), F.asc("_place")])
     return best.select(

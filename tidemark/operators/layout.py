@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.config import MATCH, MatchConfig
 from tidemark.functions import words as W
@@ -183,6 +184,23 @@ def flat_words(words: DataFrame, images: DataFrame) -> DataFrame:
     return flat.join(images.select("image_id", "width", "height", "filename"), "image_id")
 
 
+#: Order of a page's rows in page_rows().
+PARTS = ["_part", "word_ord"]
+
+
+def page_rows(words: DataFrame, images: DataFrame, rasters: DataFrame | None = None) -> DataFrame:
+    """All that is known of pages as one stream, so that one shuffle brings it together: of each page its images (_part 0), its raster (1), its words (2)."""
+    flat = words.filter("image_id is not null").select("image_id", F.lit(2).alias("_part"), "word_ord", "text", F.col("confidence").cast("double").alias("confidence"), "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
+    sizes = images.select("image_id", F.lit(0).alias("_part"), "filename", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"))
+    rows = flat.unionByName(sizes, allowMissingColumns=True)
+    return rows if rasters is None else rows.unionByName(rasters.select("image_id", F.lit(1).alias("_part"), "grey", "raster_width"), allowMissingColumns=True)
+
+
+def parts_of(rows: list[dict]) -> tuple[list[dict], dict | None, list[dict]]:
+    """A page's images, raster and words, from its rows of page_rows()."""
+    return [r for r in rows if r["_part"] == 0], next((r for r in rows if r["_part"] == 1), None), [r for r in rows if r["_part"] == 2]
+
+
 def anchors(words: DataFrame, images: DataFrame) -> DataFrame:
     def rule(page: list[dict]) -> list[tuple]:
         return [(page[0]["image_id"], k, {**a.box._asdict(), "height": a.box.height}, [w.text for w in a.words]) for k, a in enumerate(find_anchors(page_words(page)))]

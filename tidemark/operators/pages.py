@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from tidemark.session import ship_package
 
 
-def by_page(df: DataFrame, rule: Callable[[list[dict]], list[tuple]], schema: str, page: str = "image_id", order: str = "word_ord") -> DataFrame:
+def by_page(df: DataFrame, rule: Callable[[list[dict]], list[tuple]], schema: str, page: str = "image_id", order: str | list[str] = "word_ord") -> DataFrame:
     """Apply rule to each page's rows (as dicts, in order); it returns rows of the schema.
 
     Rows with a null page form a page of their own.
@@ -26,7 +26,9 @@ def by_page(df: DataFrame, rule: Callable[[list[dict]], list[tuple]], schema: st
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            yield from batch.to_pylist()
+            columns = [c.to_pylist() for c in batch.columns]
+            for values in zip(*columns):
+                yield dict(zip(batch.schema.names, values))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -45,4 +47,6 @@ def by_page(df: DataFrame, rule: Callable[[list[dict]], list[tuple]], schema: st
         columns = list(zip(*out))
         return pa.RecordBatch.from_arrays([pa.array(c, kinds.field(n).type) for c, n in zip(columns, names)], names)
 
-    return df.repartition(page).sortWithinPartitions(page, order).mapInArrow(run, schema)
+    # a number of tasks that adaptive execution leaves alone: pages are few bytes and much work
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(tasks, page).sortWithinPartitions(page, *([order] if isinstance(order, str) else order)).mapInArrow(run, schema)
