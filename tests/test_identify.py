@@ -78,3 +78,11 @@ def test_better_analysis(spark):
 @given(st.text("abc", max_size=6), st.text("abc", max_size=6))
 def test_edits_is_a_metric(a, b):
     assert edits(a, b) == edits(b, a) and (edits(a, b) == 0) == (a == b) and edits(a, b) <= max(len(a), len(b))
+
+
+def test_weights_side_by_side_are_no_id(spark):
+    pair = lambda t: [(t, 90, 205, 350, 255, 365), (t, 90, 325, 350, 375, 365)]
+    # one edit from an id, and the id itself
+    pages = {"near": pair("30.01"), "same": pair("300.01"), "pieces": [("3001", 90, 205, 350, 255, 365), ("30002", 90, 260, 350, 310, 365)]}
+    got = match(spark, pages, {k: (1000, 1000) for k in pages}, ["300130001", "3000130001", "300130002"])
+    assert set(got) == {"pieces"} and got["pieces"][:3] == ("300130002", 0, "ocr_fragments")

@@ -99,6 +99,11 @@ def is_printed_number(t: str | None) -> bool:
     return bool(re.fullmatch(r"[0-9]{1,6}([.,][0-9]{1,3})?", (t or "").strip()))
 
 
+def is_decimal(t: str | None) -> bool:
+    """A number with decimals and nothing else, as weights are printed."""
+    return bool(re.fullmatch(r"[0-9]{1,6}[.,][0-9]{1,3}", (t or "").strip()))
+
+
 def digits(t: str | None) -> str:
     if t and t.isascii() and t.isdigit():
         return t

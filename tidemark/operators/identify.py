@@ -82,11 +82,13 @@ def fragments_of(page: list[dict]) -> list[tuple[str, float, float, float, float
 def readings(page: list[dict], chained: list[tuple], width: float | None, height: float | None, lengths: tuple[int, int], config: MatchConfig = MATCH) -> list[dict]:
     """Candidates for a page's id: single words, then chains of fragments, the best one of each text.
 
-    lengths: of the known ids; what is longer or shorter by more than the edits allowed is near none of them.
+    lengths: of the known ids; what is longer or shorter by more than the edits allowed is near none of them. Weights
+    that stand side by side are no id in pieces: chains of nothing but decimals don't count.
     """
     low, high = max(config.min_id_length, lengths[0] - config.fuzzy_distance), lengths[1] + config.fuzzy_distance
     tall = sorted(h for r in page if (h := r["y1"] - r["y0"]) > 0)
     median = tall[len(tall) // 2] if tall else 1.0
+    weights = {r["word_ord"] for r in page if W.is_decimal(r["text"])}
     best: dict[str, dict] = {}
 
     def take(place: int, text: str, sure: float | None, source: str, ords: list[int], *box: float) -> None:
@@ -101,7 +103,8 @@ def readings(page: list[dict], chained: list[tuple], width: float | None, height
         for k, text in enumerate(W.numeric_variants(r["text"])):
             take(r["word_ord"] * 2 + k, text, r["confidence"], "ocr" if text == plain else "ocr_confusion_repair", [r["word_ord"]], r["x0"], r["y0"], r["x1"], r["y1"])
     for k, (text, sure, ords, *box) in enumerate(chained):
-        take(k + BEHIND, text, sure, "ocr_fragments" if len(ords) > 1 else "ocr", ords, *box)
+        if len(ords) == 1 or not weights.issuperset(ords):
+            take(k + BEHIND, text, sure, "ocr_fragments" if len(ords) > 1 else "ocr", ords, *box)
     return list(best.values())
 
 
