@@ -209,3 +209,14 @@ def test_a_job_reads_each_page_once(spark, monkeypatch):
     assert len(seen) == 1
     assert "MapInArrow" not in done._jdf.queryExecution().executedPlan().toString()
     assert {r["image_id"]: r["matched_id"] for r in done.collect()} == {"a": "307775718", "b": None}
+
+
+def test_a_choice_among_passes_has_a_small_plan(spark):
+    from tests.pages import SAMPLE, SAMPLE_SIZE, images_of, mapping_of, words_of
+    from tidemark.plans import passes
+    words = words_of(spark, {"a": SAMPLE})
+    chosen = passes.choose_pass([words.limit(0), words, words], images_of(spark, {"a": SAMPLE_SIZE}), mapping_of(spark, [("307775718", 1)]))
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    # the plan doesn't grow with the number of passes, and holds no page's pass
+    assert plan.count("Join") <= 10 and "MapInArrow" not in plan
+    assert [(r["image_id"], r["attempt"]) for r in chosen.collect()] == [("a", 1)]
